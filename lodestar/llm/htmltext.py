@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from dataclasses import dataclass
 from functools import cache
@@ -153,6 +154,9 @@ LABELLED = """
 11 0.00  30 0.00   1 1.00  2 0 0 0 0  1
  4 0.00  70 0.00   6 0.00  2 0 0 0 0  1
  8 0.00   3 1.00  90 0.00  2 1 0 0 1  1
+ 3 0.00   1 1.00  12 0.00  2 1 0 0 1  1
+ 1 0.00  20 0.00   4 0.00  2 1 0 0 1  1
+15 0.00   2 1.00   3 1.00  2 1 0 0 1  1
  3 0.00   8 0.00  90 0.00  2 1 0 0 0  0
  6 1.00  40 0.00   6 1.00  2 1 0 0 0  0
 22 0.00  44 0.00   2 0.00  2 1 0 0 0  0
@@ -201,9 +205,22 @@ LABELLED = """
 """
 
 
+#: Plain blocks of every length beside every kind of neighbour: (words, link density).
+LENGTHS, NEIGHBOURS = (1, 4, 15, 60), ((0, 0.0), (2, 1.0), (5, 0.0), (40, 0.0))
+
+
 def labelled() -> list[tuple[list[float], int]]:
+    """The table, and plain blocks: all are main text inside an article and none outside it;
+    in a page without an article those are that are long or next to a long one, and nowhere
+    those in boilerplate elements, of surrounding names or of readers."""
     rows = [[float(x) for x in line.split()] for line in LABELLED.strip().splitlines()]
-    return [(r[:-1], int(r[-1])) for r in rows]
+    table = [(r[:-1], int(r[-1])) for r in rows]
+    for words, before, after in itertools.product(LENGTHS, NEIGHBOURS, NEIGHBOURS):
+        x = [words, 0.0, *before, *after]
+        table += [(x + [2, 0, 0, 0, 0], 1), (x + [0, 0, 0, 0, 0], 0)]
+        table += [(x + [where, *flags, 0], 0) for where in (1, 2) for flags in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
+        table.append((x + [1, 0, 0, 0, 0], int(max(words, before[0], after[0]) >= 15)))
+    return table
 
 
 def grow(rows: list[tuple[list[float], int]], depth: int = 10):

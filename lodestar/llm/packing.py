@@ -206,7 +206,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length")
     starts = parts.select(length, "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("part_first"))
     nth = F.row_number().over(Window.partitionBy(length, "part").orderBy(*pieces.columns))
     ranked = kept.withColumn("nth", nth).join(starts, [length, "part"])
-    names = [*pieces.columns, "sequence_id", "offset"]
+    columns = pieces.columns
 
     def place(batches):
         for b in batches:
@@ -216,10 +216,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length")
             rank = b["rank"].to_numpy(zero_copy_only=False)
             sequence, offset = at.of(size, rank)
             yield pa.RecordBatch.from_arrays(
-                [b[c] for c in pieces.columns] + [pa.array(sequence), pa.array(offset)], names)
+                [b[c] for c in columns] + [pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.select(*pieces.columns, (F.col("part_first") + F.col("nth") - 1).cast("long").alias("rank")).mapInArrow(place, schema)
+    return ranked.select(*columns, (F.col("part_first") + F.col("nth") - 1).cast("long").alias("rank")).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -71,6 +71,11 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; numpy counts those of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links within ``distance`` bits that span each component of distinct ``fps``, n - 1 at most."""
     left, links = fps, []
@@ -78,7 +83,7 @@ def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= distance
+            near = differing(left, at) <= distance
             if near.any():
                 found = left[near]
                 links += [(int(at), int(x)) for x in found]
@@ -108,7 +113,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
             size = ends - starts
             twos = starts[size == 2]
-            near = np.bitwise_count(fp[twos] ^ fp[twos + 1]) <= distance
+            near = differing(fp[twos], fp[twos + 1]) <= distance
             out = list(zip(fp[twos[near]].tolist(), fp[twos[near] + 1].tolist()))
             for a, b in zip(starts[size > 2], ends[size > 2]):
                 out += spanning(fp[a:b], distance)
@@ -213,8 +218,8 @@ def without_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, dista
     # ids with several rows: these rows are told apart by text
     per_text = saved(fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle).distinct())
     wanted = stays.select(F.col("doc_id").alias("stay_id"), F.col("fp").alias("stay_fp")).distinct()
-    texts = docs.withColumn("text_key", F.xxhash64("doc_id", "text")).join(
-        per_text.select(F.col("doc_id").alias("text_key"), F.col("fp").alias("text_fp")), "text_key")
-    kept = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_fp") == F.col("stay_fp")), "left_semi")
-    groups = found.select(F.col("fp").alias("text_fp"), F.col("component_id").alias("part")).distinct()
-    return kept.join(groups, "text_fp").dropDuplicates(["doc_id", "part"]).select(*docs.columns)
+    texts = docs.withColumn("near_key", F.xxhash64("doc_id", "text")).join(
+        per_text.select(F.col("doc_id").alias("near_key"), F.col("fp").alias("near_fp")), "near_key")
+    kept = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("near_fp") == F.col("stay_fp")), "left_semi")
+    groups = found.select(F.col("fp").alias("near_fp"), F.col("component_id").alias("near_part")).distinct()
+    return kept.join(groups, "near_fp").dropDuplicates(["doc_id", "near_part"]).select(*docs.columns)
