@@ -15,12 +15,19 @@ import numpy as np
 
 #: White space of the vocabularies' patterns (Unicode White_Space).
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+SIGNS = r"!-/:;=-@\[-`{-~"  # ASCII punctuation without "<", which may begin a special token
+#: Runs of Latin letters, of signs (an apostrophe may begin a suffix piece) and of digits end where
+#: ASCII of another kind follows; where anything else follows, a chunk is all up to white space.
+RUNS = (
+    rf" ?[{LATIN}]++(?![^\x00-\x7f])|(?: |(?!'))[{SIGNS}]++(?![^\t-\r\x20-;=-~])| ?[0-9]++(?![^\x00-\x7f])"
+)
 #: byte_bpe: one blank may lead a chunk, other white space stands alone. word_bpe: white space goes.
 CHUNKS = {
-    "byte_bpe_50k.json": f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
-    "word_bpe_49k.json": f"[^{SPACES}]+",
+    "byte_bpe_50k.json": f"{RUNS}| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
+    "word_bpe_49k.json": f"{RUNS.replace(' ?', '').replace('(?: |', '(?:')}|[^{SPACES}]+",
 }
-CACHED = 700_000
+CACHED = 400_000
 PART_CHARS = 2_000_000
 
 
@@ -30,6 +37,17 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Runs that the vocabulary's split leaves whole, so that they can go to its model at once.
+WHOLE = {"byte_bpe_50k.json": f" ?[{LATIN}]+| ?[{SIGNS}]+| ?[0-9]+", "word_bpe_49k.json": f"[{LATIN}]+|[{SIGNS}]+"}
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models have for each byte: itself if it prints, else the next from U+0100."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in prints else next(others)) for b in range(256)}
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian uint32 ids. ``cached``: chunks kept at most between parts."""
 
@@ -37,15 +55,27 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_file(name))
+        self.model = Tokenizer(self.tokenizer.model)  # the same without normaliser and split
+        self.lower = name.startswith("word_bpe")
+        self.letters = byte_letters()
         self.chunks = re.compile(CHUNKS[name]).findall
+        self.whole = re.compile(WHOLE[name]).fullmatch
         self.cached = cached
         self.ids: dict[str, bytes] = {}
 
-    def learn(self, missing: list[str]) -> None:
-        got = self.tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
+    def learn(self, missing: set[str]) -> None:
+        """Encodes chunks by the library: whole runs by its model alone, the others in full."""
+        whole = [c for c in missing if self.whole(c)]
+        spelled = [(c.lower() if self.lower else c).encode().decode("latin-1").translate(self.letters) for c in whole]
+        self._put(self.model, whole, spelled)
+        if rest := list(missing.difference(whole)):
+            self._put(self.tokenizer, rest, rest)
+
+    def _put(self, tokenizer, chunks: list[str], spelled: list[str]) -> None:
+        got = tokenizer.encode(spelled, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, dtype="<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(missing)), "right")).tolist()
-        self.ids.update(zip(missing, (ids[a:b] for a, b in zip([0, *ends], ends))))
+        ends = (4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(chunks)), "right")).tolist()
+        self.ids.update(zip(chunks, [ids[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str | None]):
         """Packed ids of each text in turn; a null counts as empty."""
@@ -67,7 +97,7 @@ class ChunkEncoder:
         found = [list(map(get, chunks)) for chunks in split]
         missing = {c for chunks, got in zip(split, found) if None in got for c, ids in zip(chunks, got) if ids is None}
         if missing:
-            self.learn(list(missing))
+            self.learn(missing)
         for chunks, got in zip(split, found):
             yield b"".join([ids or get(c) for c, ids in zip(chunks, got)] if None in got else got)
 
