@@ -94,11 +94,12 @@ DETAIL_LABELS = {"address": "Địa chỉ", "legal_rep": "Đại diện pháp lu
 def detail_fields(text: Column) -> dict[str, Column]:
     """Values of the labelled lines of a detail page's text; the last line of a label counts."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    out = {}
-    for name, label in DETAIL_LABELS.items():
-        own = F.filter(lines, lambda x, label=label: F.startswith(x, F.lit(label)))
-        out[name] = F.coalesce(F.trim(F.replace(F.try_element_at(own, F.lit(-1)), F.lit(label + ":"), F.lit(""))), F.lit(""))
-    return out
+
+    def value(label: str) -> Column:
+        own = F.filter(lines, lambda x: F.startswith(x, F.lit(label)))
+        return F.coalesce(F.trim(F.replace(F.try_element_at(own, F.lit(-1)), F.lit(label + ":"), F.lit(""))), F.lit(""))
+
+    return {name: value(label) for name, label in DETAIL_LABELS.items()}
 
 
 def table_field(label: Column) -> Column:
