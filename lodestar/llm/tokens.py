@@ -27,7 +27,7 @@ CHUNKS = {
     "byte_bpe_50k.json": f"{RUNS}| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
     "word_bpe_49k.json": f"{RUNS.replace(' ?', '').replace('(?: |', '(?:')}|[^{SPACES}]+",
 }
-CACHED = 400_000
+CACHED = 600_000
 PART_CHARS = 2_000_000
 
 
@@ -59,15 +59,18 @@ class ChunkEncoder:
         self.lower = name.startswith("word_bpe")
         self.letters = byte_letters()
         self.chunks = re.compile(CHUNKS[name]).findall
-        self.whole = re.compile(WHOLE[name]).fullmatch
+        self.whole = re.compile(f"^(?:{WHOLE[name]})$", re.M).findall
         self.cached = cached
         self.ids: dict[str, bytes] = {}
 
     def learn(self, missing: set[str]) -> None:
         """Encodes chunks by the library: whole runs by its model alone, the others in full."""
-        whole = [c for c in missing if self.whole(c)]
-        spelled = [(c.lower() if self.lower else c).encode().decode("latin-1").translate(self.letters) for c in whole]
-        self._put(self.model, whole, spelled)
+        # one line each: no run holds a line break, and what holds one is white space alone
+        whole = self.whole("\n".join(missing))
+        lines = "\n".join(whole)
+        spelled = (lines.lower() if self.lower else lines).encode().decode("latin-1").translate(self.letters)
+        if whole:
+            self._put(self.model, whole, spelled.split(self.letters[10]))
         if rest := list(missing.difference(whole)):
             self._put(self.tokenizer, rest, rest)
 
