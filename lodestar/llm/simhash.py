@@ -16,7 +16,7 @@ SEED = 42
 BYTES = 8
 #: The query's parameters, and those of the pipeline's stage.
 SHINGLE, DISTANCE = 3, 2
-STAGE_SHINGLE, STAGE_DISTANCE = 5, 4
+STAGE_SHINGLE, STAGE_DISTANCE = 5, 5
 #: Hashes in memory at a time.
 PART = 1 << 16
 

@@ -27,7 +27,7 @@ CHUNKS = {
     "byte_bpe_50k.json": f"{RUNS}| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+",
     "word_bpe_49k.json": f"{RUNS.replace(' ?', '').replace('(?: |', '(?:')}|[^{SPACES}]+",
 }
-CACHED = 600_000
+CACHED = 450_000
 PART_CHARS = 2_000_000
 
 

@@ -481,7 +481,7 @@ def test_near_duplicates(docs, rows, empty):
     assert got(simhash.near_duplicates(empty)) == []
 
 
-@pytest.mark.parametrize("distance", [0, 2, 4])
+@pytest.mark.parametrize("distance", [0, 2, 5])
 def test_links_reach_just_what_is_near(spark, distance):
     rng = random.Random(distance)
     fps = [rng.getrandbits(64) for _ in range(60)]
@@ -509,11 +509,11 @@ def test_components_of_a_chain(spark):
 
 def test_one_of_each_near_group(docs, rows, empty):
     left = got(simhash.without_near_duplicates(docs))
-    parts = Counter(r["component_id"] for r in got(simhash.near_groups(docs, 5, 4)))
+    parts = Counter(r["component_id"] for r in got(simhash.near_groups(docs, 5, 5)))
     assert set(left[0]) == set(docs.columns)
     ids = Counter(r["doc_id"] for r in left)
     assert set(ids) == set(parts) and all(n <= 2 for n in ids.values())
     one = docs.where("doc_id NOT IN (30, 31)")
     assert Counter(r["doc_id"] for r in got(simhash.without_near_duplicates(one))) == Counter(
-        {r["component_id"] for r in got(simhash.near_groups(one, 5, 4))})
+        {r["component_id"] for r in got(simhash.near_groups(one, 5, 5))})
     assert got(simhash.without_near_duplicates(empty)) == []
