@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
@@ -58,10 +59,14 @@ class ChunkEncoder:
         self.model = Tokenizer(self.tokenizer.model)  # the same without normaliser and split
         self.lower = name.startswith("word_bpe")
         self.letters = byte_letters()
+        spelled = [(i, t.removesuffix("</w>") if self.lower else t) for t, i in self.tokenizer.get_vocab(True).items()]
+        self.spans = np.zeros(max(i for i, _ in spelled) + 1, dtype=np.int64)
+        for i, t in spelled:
+            self.spans[i] = len(t)
         self.chunks = re.compile(CHUNKS[name]).findall
         self.whole = re.compile(f"^(?:{WHOLE[name]})$", re.M).findall
         self.cached = cached
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Known()
 
     def learn(self, missing: set[str]) -> None:
         """Encodes chunks by the library: whole runs by its model alone, the others in full."""
@@ -70,15 +75,20 @@ class ChunkEncoder:
         lines = "\n".join(whole)
         spelled = (lines.lower() if self.lower else lines).encode().decode("latin-1").translate(self.letters)
         if whole:
-            self._put(self.model, whole, spelled.split(self.letters[10]))
+            spelled = spelled.split(self.letters[10])
+            got, = self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4")
+            reach = np.cumsum(self.spans[ids])  # letters spelled up to each token's end
+            self._put(whole, ids, np.searchsorted(reach, np.cumsum(list(map(len, spelled))), "left") + 1)
         if rest := list(missing.difference(whole)):
-            self._put(self.tokenizer, rest, rest)
+            got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            words = np.array(got.word_ids, dtype=np.int64)
+            self._put(rest, np.array(got.ids, dtype="<u4"), np.searchsorted(words, np.arange(len(rest)), "right"))
 
-    def _put(self, tokenizer, chunks: list[str], spelled: list[str]) -> None:
-        got = tokenizer.encode(spelled, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(chunks)), "right")).tolist()
-        self.ids.update(zip(chunks, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+    def _put(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps the ids of each chunk; ``ends`` counts the tokens up to the chunk's last."""
+        packed, ends = ids.tobytes(), (4 * ends).tolist()
+        self.ids.update(zip(chunks, [packed[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str | None]):
         """Packed ids of each text in turn; a null counts as empty."""
@@ -94,17 +104,30 @@ class ChunkEncoder:
 
     def _part(self, texts: list[str]):
         if len(self.ids) > self.cached:
-            self.ids.clear()
-        get = self.ids.get
+            # what was met first is met most: a third stays
+            self.ids = _Known(islice(self.ids.items(), self.cached // 3))
+        get = self.ids.__getitem__
         split = [self.chunks(t) for t in texts]
         found = [list(map(get, chunks)) for chunks in split]
-        missing = {c for chunks, got in zip(split, found) if None in got for c, ids in zip(chunks, got) if ids is None}
-        if missing:
-            self.learn(missing)
+        if self.ids.new:
+            self.learn(set(self.ids.new))
+            self.ids.new.clear()
         for chunks, got in zip(split, found):
             yield b"".join([ids or get(c) for c, ids in zip(chunks, got)] if None in got else got)
 
 
+class _Known(dict):
+    """Chunks and their ids; one asked for the first time is noted as new, and None until it is learned."""
+
+    def __init__(self, items=()):
+        super().__init__(items)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.new.append(chunk)
+        self[chunk] = None
+
+
 @cache
 def encoder(name: str, path: str | None = None) -> ChunkEncoder:
     """One encoder per Python worker."""
