@@ -68,11 +68,13 @@ def identities(docs: DataFrame, keep: list[str], block: int = BLOCK, bits: int =
     An empty or null text has one empty block. The number of levels is the logarithm of
     the longest text's blocks.
     """
-    blocks = docs.select(*keep, F.encode(normalised(), "UTF-8").alias("utf8")).select(
-        *keep, F.sha2("utf8", 256).alias("text_sha256"),
-        F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.octet_length("utf8") / block)).cast("int") - 1),
-                    lambda i: F.substring(F.col("utf8"), i * block + 1, F.lit(block))).alias("names"))
-    contents = blocks.select(F.explode("names").alias("content")).select(_bucket(F.col("content"), bits=bits).alias("bucket"), "content")
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.octet_length("utf8") / block)).cast("int") - 1)
+    piece = lambda i: F.substring(F.col("utf8"), i * block + 1, F.lit(block))
+    spelled = docs.select(*keep, F.encode(normalised(), "UTF-8").alias("utf8"))
+    blocks = spelled.select(*keep, F.sha2("utf8", 256).alias("text_sha256"), F.transform(numbers, piece).alias("names"))
+    # numbers are exploded, not blocks: an exploded array would be spelled anew for each element
+    contents = spelled.select(F.explode(numbers).alias("at"), "utf8").select(piece(F.col("at")).alias("content"))
+    contents = contents.select(_bucket(F.col("content"), bits=bits).alias("bucket"), "content")
     crowded = _crowded(contents, bits)
     rows = blocks.withColumn("row_no", F.monotonically_increasing_id())
     if crowded is not None:
