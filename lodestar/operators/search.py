@@ -16,7 +16,9 @@ K1, B = 1.5, 0.75
 # --- index ---------------------------------------------------------------------------
 
 def term_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return docs.select(key, F.explode(T.terms(F.col(text))).alias("term"))
+    """One row per term. The outer form of explode: for the inner one the optimizer infers a
+    filter on the array's size, and with it cuts every text into terms again."""
+    return docs.select(key, F.explode_outer(T.terms(F.col(text))).alias("term")).where("term IS NOT NULL")
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from lodestar.functions import text as T
 from lodestar.operators import pages as P
 from lodestar.operators import resolve as R
 from lodestar.operators import search as S
+from lodestar.sources import files
 from lodestar.streaming import ingest
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,9 @@ def table(spark, d, name):
 
 
 def docs_of(spark, d):
-    return table(spark, d, "documents")
+    """The documents, dealt to all cores where their files make fewer splits than there are cores."""
+    docs, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def fixture(spark, rows, schema):
@@ -161,9 +164,19 @@ def idx_postings(spark, d):
 
 # --- BM25 ----------------------------------------------------------------------------
 
+_BUILT: dict[tuple[str, str], S.Index] = {}
+
+
+def built_index(spark, d) -> S.Index:
+    """The written index of the tables' documents, built at a session's first search of them."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _BUILT:
+        _BUILT[at] = S.write_index(docs_of(spark, d), files.shared_folder(spark))
+    return _BUILT[at]
+
+
 def _scores(spark, d, batches):
-    index = S.index_of(docs_of(spark, d))
-    return index, S.query_rows(spark, batches)
+    return built_index(spark, d), S.query_rows(spark, batches)
 
 
 @query(bm25_sql([(0, TERMS)], "SELECT doc_id, round(score, 6) AS score FROM scores"))
@@ -542,11 +555,7 @@ def eval_summary(spark, d):
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_ingest_dedup(spark, d):
     """The events as a stream into a table, one row per event_id; read back as a batch."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    out = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    out = files.shared_folder(spark)
     rows = table(spark, d, "events")
     stream = ingest.source(spark, f"{d}/event[s].parquet", rows.schema).select("event_id", "user_id", "event_type")
     ingest.ingest_once(stream, f"{out}/table", f"{out}/checkpoint", "event_id")

@@ -70,3 +70,14 @@ def append_unseen(df: DataFrame, path: str, key: str) -> int:
     new.write.mode("append").parquet(path)
     new.unpersist()
     return n
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a local session may do without."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or f'file://{tempfile.gettempdir()}').rstrip('/')}/lodestar-{uuid.uuid4().hex}"
