@@ -509,11 +509,31 @@ def test_components_of_a_chain(spark):
 
 def test_one_of_each_near_group(docs, rows, empty):
     left = got(simhash.without_near_duplicates(docs))
-    parts = Counter(r["component_id"] for r in got(simhash.near_groups(docs, 5, 5)))
+    parts = Counter(r["component_id"] for r in got(simhash.near_groups(docs, simhash.STAGE_SHINGLE, simhash.STAGE_DISTANCE, wide=True)))
     assert set(left[0]) == set(docs.columns)
     ids = Counter(r["doc_id"] for r in left)
     assert set(ids) == set(parts) and all(n <= 2 for n in ids.values())
     one = docs.where("doc_id NOT IN (30, 31)")
     assert Counter(r["doc_id"] for r in got(simhash.without_near_duplicates(one))) == Counter(
-        {r["component_id"] for r in got(simhash.near_groups(one, 5, 5))})
+        {r["component_id"] for r in got(simhash.near_groups(one, simhash.STAGE_SHINGLE, simhash.STAGE_DISTANCE, wide=True))})
     assert got(simhash.without_near_duplicates(empty)) == []
+
+
+def test_edited_texts_are_near_and_others_are_not(spark):
+    """Texts of 60 to 300 words: copies with one to three changed words go, texts that share a third of their words stay."""
+    rng = random.Random(11)
+    texts, copies = [], []
+    for i in range(300):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 300))]
+        texts.append((2 * i, " ".join(words)))
+        edited = list(words)
+        if i % 3:
+            for at in rng.sample(range(len(words)), max(1, len(words) // 100)):  # similarity of 0.84 and more
+                edited[at] = "changed"
+            copies.append(2 * i + 1)
+        else:
+            edited[len(words) // 3:] = [f"v{rng.randrange(4000)}" for _ in edited[len(words) // 3:]]
+        texts.append((2 * i + 1, " ".join(edited)))
+    left = {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(2 * i in left for i in range(300)) and left >= {2 * i + 1 for i in range(0, 300, 3)}
+    assert len(left & set(copies)) <= 0.1 * len(copies)

@@ -18,14 +18,16 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for d, t in sorted(left.items()):
         last[fold(t)] = d
     left = {d: left[d] for d in last.values()}
-    fps = {d: simhash.fingerprint(t, simhash.STAGE_SHINGLE) for d, t in left.items()}
+    fps = {d: simhash.wide_fingerprint(t) for d, t in left.items()}
+    near = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= simhash.STAGE_DISTANCE
+    meet = lambda a, b: any(all(a[p] == b[p] for p in s) for s in simhash.wide_sets())
     part = {d: d for d in fps}
     changed = True
     while changed:
         changed = False
         for a in fps:
             for b in fps:
-                if part[b] < part[a] and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= simhash.STAGE_DISTANCE:
+                if part[b] < part[a] and near(fps[a], fps[b]) and meet(fps[a], fps[b]):
                     part[a], changed = part[b], True
     left = {d: t for d, t in left.items() if part[d] == d}
     kept = plain.where(plain["doc_id"].isin(list(left)))
