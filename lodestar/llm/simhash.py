@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from itertools import combinations
 
 import numpy as np
@@ -140,17 +141,25 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links within ``distance`` bits that span each component of distinct ``fps``, as pairs of row numbers, n - 1 at most."""
+    """Links within ``distance`` bits that span each component of distinct ``fps``, as pairs of row numbers, n - 1 at most.
+
+    Those nearest to the majority of all bits come first. So the lists of one large group
+    link its members to the same few central ones, and have most of their links in common.
+    """
     left, links = np.arange(len(fps)), []
+    if len(fps) > 2:
+        ones = np.unpackbits(fps.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        centre = np.packbits(2 * ones > len(fps)).view(np.uint64)
+        left = np.argsort(differing(fps, centre), kind="stable")
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
-            at = queue.pop()
+            at = queue.popleft()
             near = differing(fps[left], fps[at]) <= distance
             if near.any():
                 found = left[near]
                 links += [(int(at), int(x)) for x in found]
-                queue += list(found)
+                queue.extend(found)
                 left = left[~near]
     return links
 
@@ -222,6 +231,42 @@ def verified(posted: DataFrame, distance: int) -> DataFrame:
 
 # --- components ----------------------------------------------------------------------
 
+#: Edges that a task thins out at a time.
+BLOCK = 1 << 19
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """a, b: edges that join up just what ``edges`` (a, b) do, a spanning forest of each block of BLOCK edges.
+
+    The lists that a large group is in link its members in different ways, so most of its
+    edges are redundant. Blocks are dealt evenly, whatever groups there are; a task holds
+    the nodes of one block.
+    """
+    blocks = max(1, -(-edges.count() // BLOCK))
+
+    def run(batches):
+        above = {}
+
+        def top(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above.setdefault(up, up)
+            return x
+
+        schema = None
+        for b in batches:
+            schema = b.schema
+            for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+                x, y = top(x), top(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+        if schema:
+            found = [(top(x), x) for x in list(above)]
+            found = [f for f in found if f[0] != f[1]]
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=schema)
+
+    return edges.repartition(blocks).mapInArrow(run, edges.schema)
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node and label, the smallest node that it is linked with, for every node of ``edges`` (a, b).
 
@@ -265,7 +310,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     """
     rows = saved(fingerprints(docs, shingle, wide))
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    labels = components(saved((wide_links if wide else links)(fps.select("fp"), distance)))
+    labels = components(thinned(saved((wide_links if wide else links)(fps.select("fp"), distance))))
     labelled = fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     labelled = saved(labelled)
     parts = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))

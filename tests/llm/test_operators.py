@@ -537,3 +537,13 @@ def test_edited_texts_are_near_and_others_are_not(spark):
     left = {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert all(2 * i in left for i in range(300)) and left >= {2 * i + 1 for i in range(0, 300, 3)}
     assert len(left & set(copies)) <= 0.1 * len(copies)
+
+
+def test_thinned_edges_join_up_the_same(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1, 1), (2, 3), (2, 3)], "a long, b long")
+    labels = lambda e: {r["node"]: r["label"] for r in simhash.components(e).collect()}
+    few, all_of = labels(simhash.thinned(edges)), labels(edges)
+    assert all(all_of[n] == few.get(n, n) for n in all_of)
+    assert simhash.thinned(edges.where("false")).count() == 0
