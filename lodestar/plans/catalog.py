@@ -398,11 +398,18 @@ def join_fuzzy_substring(spark, d):
     return R.substring_matches(left, right).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS match_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id % 25 = 0)
+@query("""WITH c AS (SELECT label, list(mean ORDER BY i) AS centre FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS mean FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL) GROUP BY label),
+u AS (SELECT label, list_transform(centre, lambda x: x / sqrt(list_dot_product(centre, centre))) AS centre FROM c),
+s AS (SELECT vec_id AS id, CAST(u.label AS BIGINT) AS match_id, list_dot_product(embedding::DOUBLE[], centre) AS cosine FROM embeddings, u)
 SELECT id, match_id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, match_id) AS n FROM s) WHERE n = 1 AND cosine >= 0.2""")
 def join_semantic_argmax(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("n").alias("name"), F.col("embedding").alias("vec"))
-    return R.semantic_matches(e, e.where("id % 25 = 0"), 0.2, None).select("id", "match_id", F.round("cosine", 6).alias("cosine"))
+    """Every vector and the label whose mean direction is nearest to it."""
+    e = table(spark, d, "embeddings")
+    large = e.select(F.col("vec_id").alias("id"), F.lit("n").alias("name"), F.col("embedding").alias("vec"))
+    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda x: x["mean"]).alias("v"))
+    small = centres.select(F.col("label").cast("long").alias("id"), F.lit("n").alias("name"), S.unit(F.col("v")).alias("vec"))
+    return R.semantic_matches(large, small, 0.2, None).select("id", "match_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("""WITH base AS (SELECT conv_id, role AS title, md5(text) AS meta FROM conversations WHERE turn = 0),
