@@ -502,6 +502,34 @@ def cln_bad_chars(spark, d):
     return docs_of(spark, d).where(F.contains(F.concat_ws(" ", "text", "lang", "source"), F.lit("�"))).select("doc_id")
 
 
+NOTED = [(0, "Bán lẻ (Xem danh sách)"), (1, "Dệt may"), (2, None), (3, "(Xem danh sách)"), (4, "★ Cty-A ★"), (5, "A-b")]
+
+
+@query(rf"""SELECT id, trim(regexp_replace(s, '\s*\(Xem danh sách\)', '', 'g')) AS industry, trim(translate(lower(coalesce(s, '')), '★-', '  ')) AS review_name
+FROM {values(NOTED, 'id, s')}""")
+def cln_list_note(spark, d):
+    s = F.col("s")
+    return fixture(spark, NOTED, "id int, s string").select("id", T.drop_list_note(s).alias("industry"), T.review_name(s).alias("review_name"))
+
+
+# --- files ---------------------------------------------------------------------------
+
+@query("SELECT doc_id, text, lang, source FROM documents")
+def src_json_lines(spark, d):
+    """All documents written as JSON lines and read back."""
+    at = files.shared_folder(spark)
+    files.write_json_lines(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), at)
+    return spark.read.schema("doc_id long, text string, lang string, source string").json(at)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def src_csv(spark, d):
+    """All conversations appended as quoted CSV and read back."""
+    at = files.shared_folder(spark)
+    files.append_csv(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), at)
+    return files.read_csv(spark, at, "conv_id long, turn long, role string, text string")
+
+
 # --- pages ---------------------------------------------------------------------------
 
 @query("""SELECT page_id, CAST(i - 1 AS INT) AS pos, CASE WHEN starts_with(hrefs[i], 'http') THEN hrefs[i] ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || hrefs[i] END AS link
