@@ -310,7 +310,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     """
     rows = saved(fingerprints(docs, shingle, wide))
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    labels = components(thinned(saved((wide_links if wide else links)(fps.select("fp"), distance))))
+    return grouped(rows, fps, components(thinned(saved((wide_links if wide else links)(fps.select("fp"), distance)))))
+
+
+def grouped(rows: DataFrame, fps: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of ``rows`` (doc_id, fp) from the ``labels`` of ``fps`` (fp, least, copies)."""
     labelled = fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     labelled = saved(labelled)
     parts = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
@@ -328,21 +332,212 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 BROADCAST_IDS = 100_000
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE) -> DataFrame:
+# --- texts of a Jaccard similarity ---------------------------------------------------
+
+#: The similarity that the stage requires, a fraction, and the documents of which one is sampled for common shingles.
+PARTS, OF, SAMPLED = 4, 5, 8
+#: Common shingles that are sent to all tasks at most.
+COMMON = 200_000
+#: Members of a list that are paired with all others in the first round; each further round takes so many times more.
+HUBS, MORE = 16, 8
+#: Pairs in memory at a time.
+PAIRS = 1 << 20
+
+
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct word shingles, words and short texts as in majority()."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingle = min(shingle, len(words))
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    join, digest = b" ".join, xxhash.xxh3_64_intdigest
+    hashes = (digest(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=len(words) - shingle + 1).view(np.int64))
+
+
+def _set_name(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def prefix_length(n: int) -> int:
+    """So many first shingles, in any order that all sets share, hold a common one of each set that is similar to one of ``n``."""
+    return n - -(-PARTS * n // OF) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several documents of a sample have, the most common ones, and their counts there."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t.as_py(), shingle) for t in b["text"].slice(at, 256)]))], ["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    counted = saved(some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2"))
+    least = total = 0
+    for r in sorted(counted.groupBy("count").agg(F.count(F.lit(1)).alias("shingles")).collect(), reverse=True):
+        total += r["shingles"]
+        if total > COMMON:
+            break
+        least = r["count"]
+    if not least:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    top = counted.where(F.col("count") >= least).toArrow()
+    found, counts = top["shingle"].to_numpy(), top["count"].to_numpy()
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp (the name of its shingle set), n (the set's size) and prefix of every whole text.
+
+    The prefix has the set's first shingles, those common in a sample last: the order
+    decides what is compared, never what is found.
+    """
+    common, counts = common_shingles(docs, shingle)
+
+    def first(s):
+        keep = prefix_length(len(s))
+        if not len(common) or not keep:
+            return s[:keep]
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        return s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")[:keep]]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                sets = [shingle_set(t.as_py(), shingle) for t in b["text"].slice(at, 256)]
+                yield pa.RecordBatch.from_arrays(
+                    [b["doc_id"].slice(at, 256).cast(pa.int64()), pa.array(map(_set_name, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(first, sets), pa.list_(pa.int64()))],
+                    ["doc_id", "fp", "n", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, n int, prefix array<long>")
+
+
+def candidates(posted: DataFrame, hubs: int) -> DataFrame:
+    """Pairs a, b of sets that share a shingle of their prefixes and may be similar by size and position, of different labels.
+
+    ``posted`` has shingle, fp, n, at (the position in the prefix) and label. The first ``hubs``
+    members of a list are paired with all after them. Lists that have more pairs are in
+    the result as they were, row by row with b null.
+    """
+    lists = posted.repartition("shingle").sortWithinPartitions("shingle", "fp")
+
+    def whole(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (*(batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "n", "at")), as_words(batch["fp"]), as_words(batch["label"]))
+            if held and held[-1][0][-1] == now[0][-1]:
+                held.append(now)
+                continue
+            all_of = tuple(map(np.concatenate, zip(*held, now)))
+            at = int(np.searchsorted(all_of[0], all_of[0][-1]))  # the last list may go on
+            if at:
+                yield tuple(x[:at] for x in all_of)
+            held = [tuple(x[at:] for x in all_of)]
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def run(batches):
+        for shingle, n, at, fp, label in whole(batches):
+            cut = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(shingle)]])
+            sizes = ends - starts
+            rank = np.arange(len(shingle)) - np.repeat(starts, sizes)
+            after = np.repeat(ends, sizes) - 1 - np.arange(len(shingle))
+            hub = np.flatnonzero((rank < hubs) & (after > 0))
+            upto = np.cumsum(after[hub])
+            for part in np.split(hub, np.flatnonzero(np.diff(upto // PAIRS)) + 1) if len(hub) else []:
+                some = after[part]
+                i = np.repeat(part, some)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+                low, high = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+                shared = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)  # at most, if this is the first that they share
+                may = (OF * low >= PARTS * high) & ((PARTS + OF) * shared >= PARTS * (low + high)) & (label[i] != label[j]).any(axis=1)
+                i, j = i[may], j[may]
+                none = pa.nulls(len(i), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[i]), none, none, from_words(fp[i]), from_words(fp[j])], ["shingle", "n", "at", "a", "b"])
+            left = np.flatnonzero(np.repeat(sizes > hubs + 1, sizes))
+            for k in range(0, len(left), PAIRS):
+                x = left[k: k + PAIRS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle[x]), pa.array(n[x], pa.int32()), pa.array(at[x], pa.int32()), from_words(fp[x]), pa.nulls(len(x), pa.binary())], ["shingle", "n", "at", "a", "b"])
+
+    return lists.mapInArrow(run, "shingle long, n int, at int, a binary, b binary")
+
+
+def similar(docs: DataFrame, fps: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: names of sets) with a Jaccard similarity of PARTS / OF at least, by their whole sets."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                sets = [shingle_set(t.as_py(), shingle) for t in b["text"].slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, sets), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    total = pairs.count()
+    named = saved(pairs.select(F.col("a").alias("fp"), F.lit(1).alias("as_a")).union(pairs.select("b", F.lit(0))).groupBy("fp").agg(
+        F.sum("as_a").alias("a_uses"), F.sum(1 - F.col("as_a")).alias("b_uses")))
+    ids = saved(fps.join(named, "fp", "left_semi").select(F.col("least").alias("wanted_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = saved(texts.select("text").mapInArrow(run, "fp binary, shingles array<long>").dropDuplicates(["fp"]).join(named, "fp"))
+    side = lambda c: sets.where(f"{c}_uses > 0").select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"), f"{c}_uses")
+    both = with_group(with_group(pairs, side("a"), ["a"], "a_uses", total), side("b"), ["b"], "b_uses", total)
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where((PARTS + OF) * shared >= PARTS * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+
+
+def similar_labels(docs: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
+    """node and label as of components(), over the links between all shingle sets whose similarity is PARTS / OF at least.
+
+    ``fps`` has distinct fp, least (a doc_id that has it), n and prefix. Each similar pair
+    meets in the list of a shingle. Of long lists only pairs with the first members are
+    compared; then those between members that are not linked yet, until none are left.
+    """
+    posted = fps.select("fp", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("label", F.col("fp"))
+    edges, hubs = None, HUBS
+    while True:
+        found = saved(candidates(posted, hubs))
+        pairs = saved(found.where("b IS NOT NULL").select("a", "b").distinct())
+        near = saved(similar(docs, fps, pairs, shingle))
+        edges = near if edges is None else saved(edges.union(near))
+        labels = components(thinned(edges))
+        left = found.where("b IS NULL").select("shingle", F.col("a").alias("fp"), "n", "at")
+        left = saved(left.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+        mixed = saved(left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"))
+        n = mixed.count()
+        if not n:
+            return labels
+        posted = left.join(F.broadcast(mixed) if n <= BROADCAST_IDS else mixed, "shingle", "left_semi")
+        hubs *= MORE
+
+
+def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """doc_id, fp (the name of the shingle set) and component_id, as near_groups(), over links of texts whose Jaccard similarity is PARTS / OF at least."""
+    rows = saved(prefixes(docs, shingle))
+    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    return grouped(rows.select("doc_id", "fp"), fps.select("fp", "least", "copies"), similar_labels(docs, fps, shingle))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id.
 
+    Documents are linked just if the Jaccard similarity of their shingle sets reaches PARTS / OF;
+    a group is what such links join up.
+
     Several rows of that doc_id are one document: all of them stay if their texts are no
     near duplicates of each other, else the one whose row sorts first by text. Rows with
     a null doc_id stay only where no other row of their group does.
     """
-    found = saved(near_groups(docs, shingle, distance, wide=True))
+    found = saved(similar_groups(docs, shingle))
     if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
         return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # ids with several rows: these rows are told apart by text
-    per_text = saved(fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle, wide=True).distinct())
+    per_text = saved(prefixes(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle).select("doc_id", "fp").distinct())
     wanted = stays.select(F.col("doc_id").alias("stay_id"), F.col("fp").alias("stay_fp")).distinct()
     texts = docs.withColumn("near_key", F.xxhash64("doc_id", "text")).join(
         per_text.select(F.col("doc_id").alias("near_key"), F.col("fp").alias("near_fp")), "near_key")

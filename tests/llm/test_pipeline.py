@@ -1,5 +1,6 @@
 """The pipeline against its stages by brute force."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -55,3 +56,57 @@ def test_stages_on_nothing(spark, empty):
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix", "pack"]
     assert langid.UNKNOWN == "und"
+
+
+def shingles(text):
+    """The set of a text's runs of five words; fewer words are one run."""
+    w = text.lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups_slowly(texts):
+    """{doc_id: smallest doc_id} over all pairs with a Jaccard similarity of 0.8 and more, and those pairs' similarities."""
+    sets, root, found = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}, {}
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                found[a, b] = shared / (len(sets[a]) + len(sets[b]) - shared)
+    for _ in ids:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    return root, found
+
+
+def staged(spark, texts):
+    """The doc_ids that the near-duplicate stage keeps."""
+    return {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+
+
+def test_every_pair_of_the_required_similarity_is_found(spark, monkeypatch):
+    """Pairs just at 0.8 of texts of 20 to 300 words, and one group of copies in lists that take several rounds."""
+    monkeypatch.setattr(simhash, "HUBS", 2)
+    monkeypatch.setattr(simhash, "MORE", 2)
+    rng, texts = random.Random(5), {}
+    for i in range(250):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(20, 300))]
+        texts[2 * i] = " ".join(words)
+        n = len(words) - 4
+        edits, k = list(words), 0
+        while True:  # as many changed words, far from each other, as 0.8 allows
+            k += 1
+            at = 4 + 5 * (k - 1) + 1
+            if 9 * (n - 5 * k) < 8 * n or at + 5 > len(words):
+                break
+            edits[at] = f"changed{i}"
+        texts[2 * i + 1] = " ".join(edits)
+    base = [f"b{rng.randrange(9000)}" for _ in range(120)]
+    for d in range(1000, 1060):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 4)):
+            words[at] = f"x{rng.randrange(9000)}"
+        texts[d] = " ".join(words)
+    root, found = groups_slowly(texts)
+    assert sum(s < 0.83 for s in found.values()) > 100
+    assert staged(spark, texts) == {d for d in texts if root[d] == d}
