@@ -110,3 +110,19 @@ def test_every_pair_of_the_required_similarity_is_found(spark, monkeypatch):
     root, found = groups_slowly(texts)
     assert sum(s < 0.83 for s in found.values()) > 100
     assert staged(spark, texts) == {d for d in texts if root[d] == d}
+
+
+def test_texts_below_the_required_similarity_stay(spark):
+    """Short texts that differ in the last word or two (0.67), and long ones at 0.7 to 0.79, whatever their fingerprints."""
+    rng, texts = random.Random(6), {}
+    for i in range(200):
+        words = [f"w{rng.randrange(9000)}" for _ in range([9, 14, 200][i % 3])]
+        texts[2 * i] = " ".join(words)
+        if i % 3 < 2:
+            words[-1 - i % 3:] = ["last"] * (1 + i % 3)
+        else:
+            for k in range(rng.randrange(5, 7)):
+                words[5 + 10 * k] = "changed"
+        texts[2 * i + 1] = " ".join(words)
+    assert not groups_slowly(texts)[1]
+    assert staged(spark, texts) == set(texts)
