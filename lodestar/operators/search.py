@@ -179,6 +179,39 @@ def probe(centres, query: list[float], n_probe: int) -> list[int]:
     return sorted(range(len(centres)), key=lambda i: (distance[i], i))[:n_probe]
 
 
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int, n_probe: int) -> DataFrame:
+    """query_id, vec_id, ip: the best ``k`` of ``vectors`` (vec_id, embedding) in each query's nearest cells.
+
+    ``queries`` (query_id, embedding) go to all tasks; a task keeps the best of each batch,
+    so pairs of query and vector never become rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    centres, cells = coarse_cells(vectors.select("vec_id", "embedding"))
+    asked = queries.select("query_id", "embedding").toArrow()
+    ids, q = asked["query_id"].to_numpy(), np.array(asked["embedding"].to_pylist(), dtype=np.float64)
+    probed = np.zeros((len(ids), len(centres)), dtype=bool)
+    for i, one in enumerate(q):
+        probed[i, probe(centres, one, n_probe)] = True
+
+    def best(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            vec_id, cell = b["vec_id"].to_numpy(), b["cell"].to_numpy()
+            v = np.array(b["embedding"].to_pylist(), dtype=np.float64)
+            for at in range(0, len(ids), 256):
+                ip = np.where(probed[at: at + 256][:, cell], q[at: at + 256] @ v.T, -np.inf)
+                least = np.partition(ip, -k, axis=1)[:, -k] if len(vec_id) > k else np.full(len(ip), -np.inf)
+                i, j = np.nonzero((ip >= least[:, None]) & (ip > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(vec_id[j]), pa.array(ip[i, j])], ["query_id", "vec_id", "ip"])
+
+    found = cells.select("vec_id", "embedding", "cell").mapInArrow(best, "query_id long, vec_id long, ip double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("ip"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
 # --- fusion and filters --------------------------------------------------------------
 
 def fuse(lexical: DataFrame, vector: DataFrame, w_lexical: float = 0.5, w_vector: float = 0.5) -> DataFrame:

@@ -197,3 +197,18 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.read.parquet(out).select("k").distinct().count() == 15
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall(spark, sf):
+    """Every hundredth vector against all by brute force: at least nine of the best ten are found on average."""
+    data = f"/root/testdata/{sf}"
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    found = {}
+    for r in catalog.queries()["vec_ann"](spark, data).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["ip"]
+    asked = [v for v in vectors if v % 100 == 0]
+    hits = 0
+    for a in asked:
+        ip = {v: sum(x * y for x, y in zip(vectors[a], e)) for v, e in vectors.items()}
+        hits += len(set(sorted(ip, key=lambda v: (-ip[v], v))[:10]) & set(found[a]))
+        assert len(found[a]) == 10 and all(abs(ip[v] - s) < 1e-5 for v, s in found[a].items())
+    assert set(found) == set(asked) and hits >= 9 * len(asked)
