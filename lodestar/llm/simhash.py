@@ -17,7 +17,8 @@ SEED = 42
 BYTES = 8
 #: The query's parameters.
 SHINGLE, DISTANCE = 3, 2
-#: The pipeline's stage: fingerprints of WIDE bytes. Texts with a Jaccard similarity of 0.8 on
+#: The pipeline's stage takes shingles of five words and their exact similarity. Fingerprints of WIDE
+#: bytes (wide_links()) only estimate it and are in no query. Texts with a Jaccard similarity of 0.8 on
 #: their shingles have a cosine of 0.89, which has 39 of 256 bits differ, give or take 6.
 STAGE_SHINGLE, STAGE_DISTANCE, WIDE = 5, 44, 32
 #: Hashes in memory at a time.
