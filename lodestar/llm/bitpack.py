@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import offsets, saved
+from lodestar.llm.common import mapped, offsets, saved
 from lodestar.llm.tokens import encoder
 
 MAGIC = b"LBP1"
@@ -39,28 +39,29 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` (a multiple of 64) at ``bits`` bits each."""
-    lanes = ids.astype(np.uint64).reshape(-1, 64)
-    words = np.zeros((len(lanes), bits), dtype=np.uint64)
-    for j in range(64):
+    lanes = np.ascontiguousarray(ids.reshape(-1, 64).T)  # 64 rows: each step runs over memory in order
+    words = np.zeros((bits, lanes.shape[1]), dtype="<u8")
+    for j, lane in enumerate(lanes):
         word, shift = divmod(j * bits, 64)
-        words[:, word] |= lanes[:, j] << np.uint64(shift)
+        lane = lane.astype(np.uint64)
+        words[word] |= lane << np.uint64(shift)
         if shift + bits > 64:
-            words[:, word + 1] |= lanes[:, j] >> np.uint64(64 - shift)
-    return words.astype("<u8").tobytes()
+            words[word + 1] |= lane >> np.uint64(64 - shift)
+    return words.T.tobytes()
 
 
 def unpack(data: bytes | memoryview, bits: int) -> np.ndarray:
     """The inverse of ``pack``."""
-    words = np.frombuffer(data, dtype="<u8").reshape(-1, bits)
-    lanes = np.empty((len(words), 64), dtype="<u4")
+    words = np.ascontiguousarray(np.frombuffer(data, dtype="<u8").reshape(-1, bits).T)
+    lanes = np.empty((64, words.shape[1]), dtype="<u4")
     mask = np.uint64((1 << bits) - 1)
     for j in range(64):
         word, shift = divmod(j * bits, 64)
-        v = words[:, word] >> np.uint64(shift)
+        v = words[word] >> np.uint64(shift)
         if shift + bits > 64:
-            v = v | (words[:, word + 1] << np.uint64(64 - shift))
-        lanes[:, j] = v & mask
-    return lanes.reshape(-1)
+            v |= words[word + 1] << np.uint64(64 - shift)
+        lanes[j] = v & mask
+    return lanes.T.reshape(-1)
 
 
 def write_file(doc_ids: list[int | None], docs: list[bytes], bits: int, block_ids: int = BLOCK_IDS) -> bytes:
@@ -149,7 +150,7 @@ def write_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
             if not batch.num_rows:
                 continue
             part = batch["range_no"][0].as_py()
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode.encode(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode.encode(batch["text"])):
                 names.append(doc_id)
                 held.append(ids + end)
                 n += len(ids) // 4 + 1
@@ -160,7 +161,7 @@ def write_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
             yield file()
 
     # packed ids hardly compress
-    return saved(ranged.mapInArrow(files, FILES), "uncompressed")
+    return saved(mapped(ranged, files, FILES), "uncompressed")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -188,8 +189,8 @@ def read_files(files: DataFrame) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(every[a:b]) for a, b in zip(first, first[1:])], pa.int64()),
                 })
 
-    read = files.select("range_no", "file_no", "data").mapInArrow(
-        documents, "range_no int, file_no int, doc_id long, first long, n_tokens long, ids_crc32 long"
+    read = mapped(
+        files.select("range_no", "file_no", "data"), documents, "range_no int, file_no int, doc_id long, first long, n_tokens long, ids_crc32 long"
     )
     return read.join(starts, ["range_no", "file_no"]).select(
         "doc_id", (F.col("first") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32"

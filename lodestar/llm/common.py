@@ -13,6 +13,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows and bytes of a batch that goes to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a Python worker at once: texts may be long, and both sides hold a batch several times."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name)
+        bytes_now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) if now and not now.lstrip("-").isdigit() else int(now)
+        if not 0 < bytes_now <= most:
+            spark.conf.set(name, str(most))
+
+
+def mapped(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow`` in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -11,6 +11,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.common import mapped
+
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]+|"[^"]*"|'[^']*')*)(?:>|\Z)"""
@@ -291,4 +293,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 [b["page_id"].cast(pa.int64()), b["url"].cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), read, "page_id long, url string, text string, n_chars long")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import mapped, saved
+
 # Fixed values of the Matroska and EBML specifications: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
@@ -268,7 +270,7 @@ def with_media(docs: DataFrame) -> DataFrame:
                     yield {"doc_id": doc_id, "n_bytes": n, "media": mux(samples)}
         yield from _batches(rows(), schema, lambda r: len(r["media"]))
 
-    return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    return mapped(docs.select("doc_id", "text"), write, "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "track int, timestamp long, keyframe boolean, byte_start long, n_bytes long, lacing string, cluster_start long"
@@ -288,7 +290,7 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
                         yield {key: k, **dict(zip(names, p))}
         yield from _batches(rows(), schema, lambda r: 64)
 
-    return media.select(key, column).mapInArrow(read, f"{key} long, {PACKETS}")
+    return mapped(media.select(key, column), read, f"{key} long, {PACKETS}")
 
 
 def features(table: list[tuple], n_cues: int, samples: bytes) -> str:
@@ -320,8 +322,8 @@ def media_features(media: DataFrame) -> DataFrame:
                     )))
         yield from _batches(rows(), pa.schema(list(zip(names, kinds))), lambda r: 500)
 
-    return media.mapInArrow(
-        read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    return mapped(
+        media, read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestar.llm.common import saved
+from lodestar.llm.common import mapped, saved
 from lodestar.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -178,14 +178,14 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
         end = struct.pack("<I", end_id)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encode.encode(b["text"].to_pylist())):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encode.encode(b["text"])):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at: at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return mapped(docs.select("doc_id", "text"), cut, PIECES)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:

@@ -8,6 +8,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.common import mapped
+
 #: Runs of letters, digits and marks, or single other signs; white space parts them.
 WORDS = re.compile(r"\w+|[^\w\s]").findall
 CACHED = 300_000
@@ -110,4 +112,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"].cast(pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    return mapped(docs.select("doc_id", "text"), count, "doc_id long, n_words long, n_tokens long")

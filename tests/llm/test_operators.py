@@ -105,8 +105,9 @@ def test_random_access():
 def test_chunks_encode_as_whole_texts(name, rows):
     rng = random.Random(2)
     signs = "abS'tve  \n\t,.é́ſßİ²1日👩‍\x1c 　<|endoftext|>"
-    texts = [t for _, t, _, _ in rows if t and len(t) < 2000] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    for t, ids in zip(texts, tokens.ChunkEncoder(name, cached=500).encode(texts)):
+    texts = [t for _, t, _, _ in rows if t and len(t) < 2000] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    texts += ["日\n\n<|endoftext|>", "_\n\n<|endoftext|>", " \x85<|endoftext|>x", "<|endoftext|>" * 3]
+    for t, ids in zip(texts, tokens.ChunkEncoder(name, kept=30_000).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole_ids(name, t, 0)[:-1], ascii(t)
 
 
