@@ -102,3 +102,7 @@ def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
         rows.join(F.broadcast(hot), keys)
         .unionByName(rows.join(marks, on, "left_anti").join(cold, keys))
     )
+
+
+#: So many ids are sent to all tasks; more are joined by shuffle.
+BROADCAST_IDS = 100_000

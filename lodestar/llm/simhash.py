@@ -11,82 +11,68 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, with_group
+from lodestar.llm.common import mapped, saved, with_group
+from lodestar.llm.components import components
 
 SEED = 42
 BYTES = 8
 #: The query's parameters.
 SHINGLE, DISTANCE = 3, 2
-#: The pipeline's stage takes shingles of five words and their exact similarity. Fingerprints of WIDE
-#: bytes (wide_links()) only estimate it and are in no query. Texts with a Jaccard similarity of 0.8 on
-#: their shingles have a cosine of 0.89, which has 39 of 256 bits differ, give or take 6.
-STAGE_SHINGLE, STAGE_DISTANCE, WIDE = 5, 44, 32
+#: Lists of up to so many fingerprints are tallied pair by pair; longer ones are cut by one more byte.
+LIST = 1024
+#: Lists of up to so many are compared in one step over all of them.
+SHORT = 32
 #: Hashes in memory at a time.
 PART = 1 << 16
 
 
 # --- fingerprints --------------------------------------------------------------------
 
-def _narrow(shingle: bytes) -> bytes:
-    return xxhash.xxh64_digest(shingle, SEED)
-
-
-def _wide(shingle: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(shingle, SEED) + xxhash.xxh3_128_digest(shingle, SEED + 1)
-
-
-def majority(text: str | None, shingle: int, digest, size: int) -> bytes:
-    """SimHash of ``size`` bytes of a text's word shingles, repeats included.
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The signed 64-bit SimHash by XXH64 of a text's word shingles, repeats included.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space. A bit is 1 if
-    it is set in over half of the shingles' digests. Fewer words than a shingle has are
+    it is set in over half of the shingles' hashes. Fewer words than a shingle has are
     one shingle; no words give zero.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both are ASCII-only on bytes
     if not words:
-        return bytes(size)
+        return 0
     if len(words) < shingle:
         shingle = len(words)
-    join = b" ".join
-    ones, n = np.zeros(8 * size, dtype=np.int64), len(words) - shingle + 1
+    join, digest = b" ".join, xxhash.xxh64_digest
+    ones, n = np.zeros(64, dtype=np.int64), len(words) - shingle + 1
     for at in range(0, n, PART):
         some = words[at: at + PART + shingle - 1]
-        hashes = b"".join([digest(join(s)) for s in zip(*(some[i:] for i in range(shingle)))])
-        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, size), axis=1)
+        hashes = b"".join([digest(join(s), SEED) for s in zip(*(some[i:] for i in range(shingle)))])
+        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, BYTES), axis=1)
         ones += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > n).tobytes()
-
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The signed 64-bit SimHash by XXH64."""
-    return int.from_bytes(majority(text, shingle, _narrow, BYTES), "big", signed=True)
-
-
-def wide_fingerprint(text: str | None, shingle: int = STAGE_SHINGLE) -> bytes:
-    """The SimHash of WIDE bytes by two XXH3 digests."""
-    return majority(text, shingle, _wide, WIDE)
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """doc_id and fp (a signed long, or binary if ``wide``) of every whole text."""
-    of, kind = (wide_fingerprint, pa.binary()) if wide else (fingerprint, pa.int64())
 
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (a signed long) of every whole text."""
     def run(batches):
         for b in batches:
-            fps = [of(t.as_py(), shingle) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(fps, kind)], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, fp {'binary' if wide else 'long'}")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 # --- links ---------------------------------------------------------------------------
 
-def byte_sets(distance: int) -> list[tuple[int, ...]]:
-    """Positions that a posting shares: fingerprints within ``distance`` bits differ in as many
-    bytes at most, so they agree in 8 - distance positions at least, the guaranteed minimum."""
+def position_sets(distance: int, size: int) -> list[tuple[int, ...]]:
+    """The sets of ``size`` byte positions under which fingerprints are posted.
+
+    Fingerprints within ``distance`` bits differ in as many bytes at most, so they agree at
+    BYTES - distance positions, the guaranteed minimum. These are in order, so the first
+    ``size`` of them leave room for the rest behind them: only such sets are needed.
+    """
     if not 0 <= distance < BYTES:
         raise ValueError("the index needs a shared byte: distance must be 0 to 7")
-    return list(combinations(range(BYTES), BYTES - distance))
+    least = BYTES - distance
+    return [s for s in combinations(range(BYTES), size) if s[-1] <= BYTES - 1 - (least - size)]
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -94,126 +80,103 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-#: Wide fingerprints are posted under three positions: each of these with every shift. Their
-#: differences are distinct, so two sets share one position at most and fail independently.
-FAMILIES = [(0, 1, 12), (0, 2, 10), (0, 3, 9), (0, 4, 17)]
-
-
-def wide_sets() -> np.ndarray:
-    """The position sets of wide fingerprints, one row each."""
-    return np.array([[(p + i) % WIDE for p in family] for family in FAMILIES for i in range(WIDE)])
-
-
-def wide_postings(fps: DataFrame) -> DataFrame:
-    """positions, shared, fp: each wide fingerprint under every set of positions with its bytes there."""
-    sets = wide_sets()
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                own = b["fp"].slice(at, 512)
-                n = len(own)
-                held = np.frombuffer(b"".join(own.to_pylist()), dtype=np.uint8).reshape(n, WIDE).astype(np.int64)
-                shared = (held[:, sets[:, 0]] << 16) | (held[:, sets[:, 1]] << 8) | held[:, sets[:, 2]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(len(sets), dtype=np.int32), n)), pa.array(shared.ravel()), own.take(pa.array(np.repeat(np.arange(n), len(sets))))],
-                    ["positions", "shared", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "positions int, shared long, fp binary")
-
-
-def as_words(column: pa.Array) -> np.ndarray:
-    """Fingerprints, long or binary, as rows of unsigned 64-bit words."""
-    if pa.types.is_integer(column.type):
-        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ."""
+    return np.bitwise_count(a ^ b)
 
 
-def from_words(words: np.ndarray) -> pa.Array:
-    """What as_words() read."""
-    if words.shape[1] == 1:
-        return pa.array(words.ravel().view(np.int64))
-    return pa.array([w.tobytes() for w in words], pa.binary())
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positional bytes that pairs share."""
+    different = np.atleast_1d(a ^ b)
+    return BYTES - np.count_nonzero(np.ascontiguousarray(different).view(np.uint8).reshape(-1, BYTES), axis=1)
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits that differ between rows of words."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether pairs share the guaranteed minimum of positional bytes and, so verified, differ in ``distance`` bits at most."""
+    found = tally(a, b) >= BYTES - distance
+    found[found] = differing(*(np.broadcast_to(x, found.shape)[found] for x in (a, b))) <= distance
+    return found
 
 
 def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links within ``distance`` bits that span each component of distinct ``fps``, as pairs of row numbers, n - 1 at most.
-
-    Those nearest to the majority of all bits come first. So the lists of one large group
-    link its members to the same few central ones, and have most of their links in common.
-    """
+    """Links within ``distance`` bits that span each component of distinct ``fps``, as pairs of row numbers, n - 1 at most."""
     left, links = np.arange(len(fps)), []
-    if len(fps) > 2:
-        ones = np.unpackbits(fps.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        centre = np.packbits(2 * ones > len(fps)).view(np.uint64)
-        left = np.argsort(differing(fps, centre), kind="stable")
     while len(left):
         queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
             at = queue.popleft()
-            near = differing(fps[left], fps[at]) <= distance
-            if near.any():
-                found = left[near]
-                links += [(int(at), int(x)) for x in found]
-                queue.extend(found)
-                left = left[~near]
+            found = near(fps[left], fps[at], distance)
+            if found.any():
+                links += [(int(at), int(x)) for x in left[found]]
+                queue.extend(left[found])
+                left = left[~found]
     return links
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, most: int = LIST) -> DataFrame:
     """a, b: links between different fingerprints that join up just what lies within ``distance`` bits.
 
-    ``fps`` has distinct ``fp``. The index posts each one under every set of positions of
-    the guaranteed size with its bytes there; so what a list holds shares at least that
-    count of positional bytes, and each pair that could be near meets in a list. Lists
-    are read in sorted streams and verified by differing bits. A list yields a spanning
-    forest of its near pairs, never all of them; it holds fingerprints that differ in
-    ``distance`` bytes only, at most 2**16 for a distance of 2, whatever the corpus.
+    ``fps`` has distinct ``fp``. An inverted index has each fingerprint under its positional
+    bytes, first at so many positions together that lists of evenly spread fingerprints are
+    short, and the pairs of a list are tallied. Where bytes are common, and a list is longer
+    than ``most``, its members are posted again with one more byte, and so on up to the
+    guaranteed minimum: a list by that many bytes holds fingerprints that differ in
+    ``distance`` bytes only, at most 2**16 for a distance of 2, whatever the corpus. Each
+    pair that could be near is thus in a list that is tallied. A list yields a spanning
+    forest of its near pairs, never all of them.
     """
-    masks = [_mask(s) for s in byte_sets(distance)]
     fps = fps.select("fp")
-    posted = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("positions", "mask"))
-    return verified(posted.select("positions", F.col("fp").bitwiseAND(F.col("mask")).alias("shared"), "fp"), distance)
-
-
-def wide_links(fps: DataFrame, distance: int = STAGE_DISTANCE) -> DataFrame:
-    """a, b: links between different wide fingerprints within ``distance`` bits that agree in a set of three bytes.
-
-    No count of shared bytes is guaranteed at such distances, so the minimum tally is
-    that of the sets, three. Unrelated fingerprints meet in a list once in 2**24; of
-    pairs that differ in 26 bits (a similarity of 0.9) all but one in a hundred do.
-    """
-    return verified(wide_postings(fps), distance)
+    total, size, out = fps.count(), 1, None
+    while size < BYTES - distance and total >> 8 * size > most // 16:
+        size += 1
+    rows = fps.select("fp", F.explode(F.array(*[F.lit(_mask(s)).cast("long") for s in position_sets(distance, size)])).alias("mask"))
+    while True:
+        rows = rows.withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
+        if size == BYTES - distance:
+            here = verified(rows, distance)
+            return here if out is None else out.unionByName(here)
+        rows = saved(rows)
+        sizes = saved(rows.groupBy("mask", "shared").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        n = rows.count()
+        listed = with_group(rows, sizes, ["mask", "shared"], "size", n)
+        here = saved(verified(listed.where(F.col("size") <= most), distance))
+        out = here if out is None else out.unionByName(here)
+        if not sizes.where(F.col("size") > most).limit(1).count():
+            return out
+        size += 1
+        wider = {_mask(s): [_mask(t) for t in position_sets(distance, size) if t[:-1] == s] for s in position_sets(distance, size - 1)}
+        longer = F.create_map(*[F.lit(x).cast("long") if isinstance(x, int) else F.array(*[F.lit(m).cast("long") for m in x]).cast("array<long>") for pair in wider.items() for x in pair])
+        rows = listed.where(F.col("size") > most).select("fp", F.explode(longer[F.col("mask")]).alias("mask"))
 
 
 def verified(posted: DataFrame, distance: int) -> DataFrame:
-    """a, b: a spanning forest of what is near in each list of ``posted`` (positions, shared, fp)."""
-    kind = dict(posted.dtypes)["fp"].replace("bigint", "long")
-    lists = posted.repartition("positions", "shared").sortWithinPartitions("positions", "shared", "fp")
+    """a, b: a spanning forest of what is near in each list of ``posted`` (mask, shared, fp)."""
+    lists = posted.select("mask", "shared", "fp").repartition("mask", "shared").sortWithinPartitions("mask", "shared", "fp")
 
     def verify(batches):
-        def tallied(positions, shared, fp):
-            cut = np.flatnonzero((positions[1:] != positions[:-1]) | (shared[1:] != shared[:-1])) + 1
+        def tallied(mask, shared, fp):
+            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1])) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
             size = ends - starts
-            twos = starts[size == 2]
-            near = twos[differing(fp[twos], fp[twos + 1]) <= distance].tolist()
-            out = [(x, x + 1) for x in near]
-            for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-                out += [(a + x, a + y) for x, y in spanning(fp[a:b], distance)]
-            at = np.array(out, dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([from_words(fp[at[:, 0]]), from_words(fp[at[:, 1]])], ["a", "b"])
+            rest = np.repeat(np.where(size <= SHORT, ends, 0), size) - np.arange(len(fp))
+            one, two = [], []
+            for step in range(1, SHORT):
+                at = np.flatnonzero(rest > step)
+                at = at[near(fp[at], fp[at + step], distance)] if len(at) else at
+                one.append(at)
+                two.append(at + step)
+            for a, b in zip(starts[size > SHORT].tolist(), ends[size > SHORT].tolist()):
+                found = np.array(spanning(fp[a:b], distance), dtype=np.int64).reshape(-1, 2) + a
+                one.append(found[:, 0])
+                two.append(found[:, 1])
+            a, b = (fp[np.concatenate(x)].view(np.int64) for x in (one, two))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (*(batch[c].to_numpy(zero_copy_only=False) for c in ("positions", "shared")), as_words(batch["fp"]))
+            now = (batch["mask"].to_numpy(), batch["shared"].to_numpy(), batch["fp"].to_numpy().view(np.uint64))
             if held and (held[-1][0][-1], held[-1][1][-1]) == (now[0][-1], now[1][-1]) == (now[0][0], now[1][0]):
                 held.append(now)  # one list goes on through the whole batch
                 continue
@@ -227,321 +190,28 @@ def verified(posted: DataFrame, distance: int) -> DataFrame:
         if held:
             yield tallied(*map(np.concatenate, zip(*held)))
 
-    return lists.mapInArrow(verify, f"a {kind}, b {kind}")
-
-
-# --- components ----------------------------------------------------------------------
-
-#: Edges that a task thins out at a time.
-BLOCK = 1 << 19
-
-
-def thinned(edges: DataFrame) -> DataFrame:
-    """a, b: edges that join up just what ``edges`` (a, b) do, a spanning forest of each block of BLOCK edges.
-
-    The lists that a large group is in link its members in different ways, so most of its
-    edges are redundant. Blocks are dealt evenly, whatever groups there are; a task holds
-    the nodes of one block.
-    """
-    blocks = max(1, -(-edges.count() // BLOCK))
-
-    def run(batches):
-        above = {}
-
-        def top(x):
-            while (up := above.setdefault(x, x)) != x:
-                above[x] = x = above.setdefault(up, up)
-            return x
-
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist()):
-                x, y = top(x), top(y)
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-        if schema:
-            found = [(top(x), x) for x in list(above)]
-            found = [f for f in found if f[0] != f[1]]
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=schema)
-
-    return edges.repartition(blocks).mapInArrow(run, edges.schema)
+    return mapped(lists, verify, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """node and label, the smallest node that it is linked with, for every node of ``edges`` (a, b).
+# --- groups --------------------------------------------------------------------------
 
-    Each round a node, and the node that it is labelled with, take the smallest label
-    next to it, and then that label's own label; labels jump, so rounds grow with the
-    logarithm of a chain's length. Every round is written to the shared folder.
-    """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    n = labels.count()
-    for _ in range(most_rounds):
-        if not n:
-            break
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        known = saved(labels.join(around, "node").withColumn("near", F.least("near", "label")))
-        hooked = (
-            known.select("node", F.col("near").alias("label"))
-            .union(known.groupBy(F.col("label").alias("node")).agg(F.min("near").alias("label")))
-            .groupBy("node").agg(F.min("label").alias("label"))
-        )
-        hooked = saved(hooked)
-        uses = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("uses"))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next")).join(uses, "label")
-        new = saved(with_group(hooked, jump, ["label"], "uses", n).select("node", F.least("label", "next").alias("label")))
-        changed = new.join(labels.select("node", F.col("label").alias("was")), "node").where("label <> was").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still change after {most_rounds} rounds")
-    return labels
-
-
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, wide: bool = False) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that links of at most ``distance`` differing bits reach.
 
     Rows with one fingerprint are linked, null and empty texts too (fingerprint zero). A
     null doc_id takes part and is never a component_id, unless a component has no other.
-    Distinct fingerprints are indexed, so copies cost nothing. ``wide`` takes fingerprints
-    of WIDE bytes, linked as by wide_links().
+    Distinct fingerprints are indexed, so copies cost nothing. No rows: no rows.
     """
-    rows = saved(fingerprints(docs, shingle, wide))
+    rows = saved(fingerprints(docs, shingle))
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    return grouped(rows, fps, components(thinned(saved((wide_links if wide else links)(fps.select("fp"), distance)))))
-
-
-def grouped(rows: DataFrame, fps: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of ``rows`` (doc_id, fp) from the ``labels`` of ``fps`` (fp, least, copies)."""
-    labelled = fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    labelled = saved(labelled)
+    labels = components(saved(links(fps.select("fp"), distance)))
+    labelled = saved(fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     parts = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
     groups = with_group(labelled, parts, ["label"], "fps", labelled.count()).select("fp", "copies", "component_id")
     return with_group(rows, saved(groups), ["fp"], "copies", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The query: doc_id, fingerprint in hex, component_id."""
+    """The query: doc_id, fingerprint in hex, component_id, as near_groups() has them; other columns are not read."""
     return near_groups(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: So many ids of dropped documents are sent to all tasks; more are joined by shuffle.
-BROADCAST_IDS = 100_000
-
-
-# --- texts of a Jaccard similarity ---------------------------------------------------
-
-#: The similarity that the stage requires, a fraction, and the documents of which one is sampled for common shingles.
-PARTS, OF, SAMPLED = 4, 5, 8
-#: Common shingles that are sent to all tasks at most.
-COMMON = 200_000
-#: Members of a list that are paired with all others in the first round; each further round takes so many times more.
-HUBS, MORE = 16, 8
-#: Pairs in memory at a time.
-PAIRS = 1 << 20
-
-
-def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct word shingles, words and short texts as in majority()."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    shingle = min(shingle, len(words))
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    join, digest = b" ".join, xxhash.xxh3_64_intdigest
-    hashes = (digest(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle))))
-    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=len(words) - shingle + 1).view(np.int64))
-
-
-def _set_name(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
-
-
-def prefix_length(n: int) -> int:
-    """So many first shingles, in any order that all sets share, hold a common one of each set that is similar to one of ``n``."""
-    return n - -(-PARTS * n // OF) + 1 if n else 0
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several documents of a sample have, the most common ones, and their counts there."""
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t.as_py(), shingle) for t in b["text"].slice(at, 256)]))], ["shingle"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    counted = saved(some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2"))
-    least = total = 0
-    for r in sorted(counted.groupBy("count").agg(F.count(F.lit(1)).alias("shingles")).collect(), reverse=True):
-        total += r["shingles"]
-        if total > COMMON:
-            break
-        least = r["count"]
-    if not least:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    top = counted.where(F.col("count") >= least).toArrow()
-    found, counts = top["shingle"].to_numpy(), top["count"].to_numpy()
-    order = np.argsort(found)
-    return found[order], counts[order]
-
-
-def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (the name of its shingle set), n (the set's size) and prefix of every whole text.
-
-    The prefix has the set's first shingles, those common in a sample last: the order
-    decides what is compared, never what is found.
-    """
-    common, counts = common_shingles(docs, shingle)
-
-    def first(s):
-        keep = prefix_length(len(s))
-        if not len(common) or not keep:
-            return s[:keep]
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        return s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")[:keep]]
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                sets = [shingle_set(t.as_py(), shingle) for t in b["text"].slice(at, 256)]
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(at, 256).cast(pa.int64()), pa.array(map(_set_name, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(first, sets), pa.list_(pa.int64()))],
-                    ["doc_id", "fp", "n", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, n int, prefix array<long>")
-
-
-def candidates(posted: DataFrame, hubs: int) -> DataFrame:
-    """Pairs a, b of sets that share a shingle of their prefixes and may be similar by size and position, of different labels.
-
-    ``posted`` has shingle, fp, n, at (the position in the prefix) and label. The first ``hubs``
-    members of a list are paired with all after them. Lists that have more pairs are in
-    the result as they were, row by row with b null.
-    """
-    lists = posted.repartition("shingle").sortWithinPartitions("shingle", "fp")
-
-    def whole(batches):
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (*(batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "n", "at")), as_words(batch["fp"]), as_words(batch["label"]))
-            if held and held[-1][0][-1] == now[0][-1]:
-                held.append(now)
-                continue
-            all_of = tuple(map(np.concatenate, zip(*held, now)))
-            at = int(np.searchsorted(all_of[0], all_of[0][-1]))  # the last list may go on
-            if at:
-                yield tuple(x[:at] for x in all_of)
-            held = [tuple(x[at:] for x in all_of)]
-        if held:
-            yield tuple(map(np.concatenate, zip(*held)))
-
-    def run(batches):
-        for shingle, n, at, fp, label in whole(batches):
-            cut = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(shingle)]])
-            sizes = ends - starts
-            rank = np.arange(len(shingle)) - np.repeat(starts, sizes)
-            after = np.repeat(ends, sizes) - 1 - np.arange(len(shingle))
-            hub = np.flatnonzero((rank < hubs) & (after > 0))
-            upto = np.cumsum(after[hub])
-            for part in np.split(hub, np.flatnonzero(np.diff(upto // PAIRS)) + 1) if len(hub) else []:
-                some = after[part]
-                i = np.repeat(part, some)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
-                low, high = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-                shared = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)  # at most, if this is the first that they share
-                may = (OF * low >= PARTS * high) & ((PARTS + OF) * shared >= PARTS * (low + high)) & (label[i] != label[j]).any(axis=1)
-                i, j = i[may], j[may]
-                none = pa.nulls(len(i), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[i]), none, none, from_words(fp[i]), from_words(fp[j])], ["shingle", "n", "at", "a", "b"])
-            left = np.flatnonzero(np.repeat(sizes > hubs + 1, sizes))
-            for k in range(0, len(left), PAIRS):
-                x = left[k: k + PAIRS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingle[x]), pa.array(n[x], pa.int32()), pa.array(at[x], pa.int32()), from_words(fp[x]), pa.nulls(len(x), pa.binary())], ["shingle", "n", "at", "a", "b"])
-
-    return lists.mapInArrow(run, "shingle long, n int, at int, a binary, b binary")
-
-
-def similar(docs: DataFrame, fps: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: names of sets) with a Jaccard similarity of PARTS / OF at least, by their whole sets."""
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                sets = [shingle_set(t.as_py(), shingle) for t in b["text"].slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, sets), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    total = pairs.count()
-    named = saved(pairs.select(F.col("a").alias("fp"), F.lit(1).alias("as_a")).union(pairs.select("b", F.lit(0))).groupBy("fp").agg(
-        F.sum("as_a").alias("a_uses"), F.sum(1 - F.col("as_a")).alias("b_uses")))
-    ids = saved(fps.join(named, "fp", "left_semi").select(F.col("least").alias("wanted_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = saved(texts.select("text").mapInArrow(run, "fp binary, shingles array<long>").dropDuplicates(["fp"]).join(named, "fp"))
-    side = lambda c: sets.where(f"{c}_uses > 0").select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"), f"{c}_uses")
-    both = with_group(with_group(pairs, side("a"), ["a"], "a_uses", total), side("b"), ["b"], "b_uses", total)
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where((PARTS + OF) * shared >= PARTS * (F.size("a_set") + F.size("b_set"))).select("a", "b")
-
-
-def similar_labels(docs: DataFrame, fps: DataFrame, shingle: int) -> DataFrame:
-    """node and label as of components(), over the links between all shingle sets whose similarity is PARTS / OF at least.
-
-    ``fps`` has distinct fp, least (a doc_id that has it), n and prefix. Each similar pair
-    meets in the list of a shingle. Of long lists only pairs with the first members are
-    compared; then those between members that are not linked yet, until none are left.
-    """
-    posted = fps.select("fp", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("label", F.col("fp"))
-    edges, hubs = None, HUBS
-    while True:
-        found = saved(candidates(posted, hubs))
-        pairs = saved(found.where("b IS NOT NULL").select("a", "b").distinct())
-        near = saved(similar(docs, fps, pairs, shingle))
-        edges = near if edges is None else saved(edges.union(near))
-        labels = components(thinned(edges))
-        left = found.where("b IS NULL").select("shingle", F.col("a").alias("fp"), "n", "at")
-        left = saved(left.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-        mixed = saved(left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"))
-        n = mixed.count()
-        if not n:
-            return labels
-        posted = left.join(F.broadcast(mixed) if n <= BROADCAST_IDS else mixed, "shingle", "left_semi")
-        hubs *= MORE
-
-
-def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """doc_id, fp (the name of the shingle set) and component_id, as near_groups(), over links of texts whose Jaccard similarity is PARTS / OF at least."""
-    rows = saved(prefixes(docs, shingle))
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    return grouped(rows.select("doc_id", "fp"), fps.select("fp", "least", "copies"), similar_labels(docs, fps, shingle))
-
-
-def without_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id.
-
-    Documents are linked just if the Jaccard similarity of their shingle sets reaches PARTS / OF;
-    a group is what such links join up.
-
-    Several rows of that doc_id are one document: all of them stay if their texts are no
-    near duplicates of each other, else the one whose row sorts first by text. Rows with
-    a null doc_id stay only where no other row of their group does.
-    """
-    found = saved(similar_groups(docs, shingle))
-    if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-        gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # ids with several rows: these rows are told apart by text
-    per_text = saved(prefixes(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle).select("doc_id", "fp").distinct())
-    wanted = stays.select(F.col("doc_id").alias("stay_id"), F.col("fp").alias("stay_fp")).distinct()
-    texts = docs.withColumn("near_key", F.xxhash64("doc_id", "text")).join(
-        per_text.select(F.col("doc_id").alias("near_key"), F.col("fp").alias("near_fp")), "near_key")
-    kept = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("near_fp") == F.col("stay_fp")), "left_semi")
-    groups = found.select(F.col("fp").alias("near_fp"), F.col("component_id").alias("near_part")).distinct()
-    return kept.join(groups, "near_fp").dropDuplicates(["doc_id", "near_part"]).select(*docs.columns)

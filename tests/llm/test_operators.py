@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 from lodestar.llm import (
-    bitpack, exactdedup, htmltext, langid, matroska, mixing, packing, sharding, simhash, tokens, wordpiece,
+    bitpack, components, exactdedup, htmltext, jaccard, langid, matroska, mixing, packing, sharding, simhash, tokens, wordpiece,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -495,7 +495,7 @@ def test_links_reach_just_what_is_near(spark, distance):
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance)
-    made = {r["node"]: r["label"] for r in simhash.components(edges).collect()}
+    made = {r["node"]: r["label"] for r in components.components(edges).collect()}
     want = components_slowly(fps, distance)
     classes = defaultdict(set)
     for f, s in zip(fps, signed):
@@ -505,19 +505,57 @@ def test_links_reach_just_what_is_near(spark, distance):
 
 def test_components_of_a_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
-    assert {r["label"] for r in simhash.components(edges).collect()} == {0}
+    assert {r["label"] for r in components.components(edges).collect()} == {0}
+
+
+def test_crowded_lists_are_cut_by_more_bytes(spark, monkeypatch):
+    """Fingerprints that share most bytes, at every size of the lists."""
+    rng = random.Random(9)
+    fps = sorted({rng.getrandbits(18) << 20 for _ in range(900)} | {rng.getrandbits(64) for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = components_slowly(fps, 2)
+    for most in (2, 40, 4096):
+        made = {r["node"]: r["label"] for r in components.components(simhash.links(frame, 2, most)).collect()}
+        classes = defaultdict(set)
+        for f, s in zip(fps, signed):
+            classes[want[f]].add(made.get(s, s))
+        assert all(len(c) == 1 for c in classes.values()) and len({next(iter(c)) for c in classes.values()}) == len(classes)
+    a, b = np.array([3, 3, 0x0101010101010101], dtype=np.uint64), np.array([3, 0x0103, 0], dtype=np.uint64)
+    assert simhash.tally(a, b).tolist() == [8, 7, 0]
+
+
+def shingles(text):
+    """The set of a text's runs of five words; fewer words are one run."""
+    w = WORD.findall(ascii_lower(text or ""))
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    shared = len(a & b)
+    return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
 def test_one_of_each_near_group(docs, rows, empty):
-    left = got(simhash.without_near_duplicates(docs))
-    parts = Counter(r["component_id"] for r in got(simhash.near_groups(docs, simhash.STAGE_SHINGLE, simhash.STAGE_DISTANCE, wide=True)))
+    texts = sorted({t or "" for _, t, _, _ in rows})
+    sets, root = {t: shingles(t) for t in texts}, {t: t for t in texts}
+    for _ in texts:
+        changed = False
+        for a in texts:
+            for b in texts:
+                if root[a] != root[b] and alike(sets[a], sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+        if not changed:
+            break
+    least = {}
+    for d, t, _, _ in rows:
+        p = root[t or ""]
+        least[p] = min((x for x in (d, least.get(p)) if x is not None), default=None)
+    left = got(jaccard.without_near_duplicates(docs))
     assert set(left[0]) == set(docs.columns)
-    ids = Counter(r["doc_id"] for r in left)
-    assert set(ids) == set(parts) and all(n <= 2 for n in ids.values())
-    one = docs.where("doc_id NOT IN (30, 31)")
-    assert Counter(r["doc_id"] for r in got(simhash.without_near_duplicates(one))) == Counter(
-        {r["component_id"] for r in got(simhash.near_groups(one, simhash.STAGE_SHINGLE, simhash.STAGE_DISTANCE, wide=True))})
-    assert got(simhash.without_near_duplicates(empty)) == []
+    assert Counter((r["doc_id"], root[r["text"] or ""]) for r in left) == Counter((d, p) for p, d in least.items())
+    assert got(jaccard.without_near_duplicates(empty)) == []
 
 
 def test_edited_texts_are_near_and_others_are_not(spark):
@@ -535,16 +573,25 @@ def test_edited_texts_are_near_and_others_are_not(spark):
         else:
             edited[len(words) // 3:] = [f"v{rng.randrange(4000)}" for _ in edited[len(words) // 3:]]
         texts.append((2 * i + 1, " ".join(edited)))
-    left = {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    left = {r["doc_id"] for r in jaccard.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert all(2 * i in left for i in range(300)) and left >= {2 * i + 1 for i in range(0, 300, 3)}
     assert len(left & set(copies)) <= 0.1 * len(copies)
 
 
-def test_thinned_edges_join_up_the_same(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 50)
+def test_components_of_blocks_and_rounds(spark):
+    """Random links, a chain and a node that most are linked with, in one block, in several and in rounds."""
     rng = random.Random(3)
-    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1, 1), (2, 3), (2, 3)], "a long, b long")
-    labels = lambda e: {r["node"]: r["label"] for r in simhash.components(e).collect()}
-    few, all_of = labels(simhash.thinned(edges)), labels(edges)
-    assert all(all_of[n] == few.get(n, n) for n in all_of)
-    assert simhash.thinned(edges.where("false")).count() == 0
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1, 1), (2, 3), (2, 3)]
+    pairs += [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(300)]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    want = {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for block in (1 << 17, 200, 1):
+        assert {r["node"]: r["label"] for r in components.components(edges, block).collect()} == want, block
+    assert components.components(edges.where("false")).count() == 0

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 
-from lodestar.llm import langid, mixing, packing, simhash
+from lodestar.llm import jaccard, langid, mixing, packing
 
 
 def test_pipeline(spark, docs, rows, tmp_path):
@@ -19,18 +19,8 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for d, t in sorted(left.items()):
         last[fold(t)] = d
     left = {d: left[d] for d in last.values()}
-    fps = {d: simhash.wide_fingerprint(t) for d, t in left.items()}
-    near = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= simhash.STAGE_DISTANCE
-    meet = lambda a, b: any(all(a[p] == b[p] for p in s) for s in simhash.wide_sets())
-    part = {d: d for d in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if part[b] < part[a] and near(fps[a], fps[b]) and meet(fps[a], fps[b]):
-                    part[a], changed = part[b], True
-    left = {d: t for d, t in left.items() if part[d] == d}
+    root, _ = groups_slowly(left)
+    left = {d: t for d, t in left.items() if root[d] == d}
     kept = plain.where(plain["doc_id"].isin(list(left)))
     mixed = Counter(r["doc_id"] for r in mixing.mixed(kept).collect())
     assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == mixed
@@ -81,13 +71,13 @@ def groups_slowly(texts):
 
 def staged(spark, texts):
     """The doc_ids that the near-duplicate stage keeps."""
-    return {r["doc_id"] for r in simhash.without_near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    return {r["doc_id"] for r in jaccard.without_near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
 
 
 def test_every_pair_of_the_required_similarity_is_found(spark, monkeypatch):
     """Pairs just at 0.8 of texts of 20 to 300 words, and one group of copies in lists that take several rounds."""
-    monkeypatch.setattr(simhash, "HUBS", 2)
-    monkeypatch.setattr(simhash, "MORE", 2)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    monkeypatch.setattr(jaccard, "MORE", 2)
     rng, texts = random.Random(5), {}
     for i in range(250):
         words = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(20, 300))]
