@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -13,23 +15,25 @@ from pyspark.sql import DataFrame
 
 from lodestar.llm.common import mapped
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]+|"[^"]*"|'[^']*')*)(?:>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: From a tag's name to its end; nothing is tried twice, so a stray quote costs one pass.
+TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements whose content is never text of the page.
 UNSEEN = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "select", "svg", "math", "object",
           "noembed", "noframes", "xmp", "video", "audio", "canvas", "datalist", "button"}
+#: Of these, what may close itself, and what holds no markup.
+FOREIGN = {"svg", "math"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 #: Elements that part text without any effect on it; all others part blocks.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input",
           "ins", "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3"}
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dt", "dd"}
 CONTENT = {"article", "main"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
@@ -39,6 +43,10 @@ AROUND = {"ad", "ads", "adbox", "advert", "advertisement", "adverts", "alert", "
           "overlay", "pager", "pagination", "popup", "promo", "promotion", "related", "recommended", "search", "share", "sharing", "sidebar",
           "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets"}
 REMARKS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
+#: Words that name a place or a form of what such a word names.
+PLACES = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "container", "content", "desktop", "fixed", "form", "icons", "inner",
+          "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary",
+          "section", "site", "slot", "sticky", "thread", "top", "unit", "wrap", "wrapper"}
 
 
 @dataclass
@@ -50,23 +58,102 @@ class Block:
     link_density: float
     inside: bool  # in an article or main element
     boiler: bool  # in a boilerplate element inside the innermost article, or outside any
-    around: bool  # named as what surrounds a text
-    remark: bool  # reader comments
+    around: int  # named as what surrounds a text: 2, or 1 if the name has other words too
+    remark: int  # reader comments, likewise
     heading: bool
+    paragraph: bool
+
+
+@cache
+def closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I)
+
+
+def named(attributes: str, words: set[str]) -> int:
+    """2 if a class, id, role or label is one of ``words``, alone or with words for places; 1 if it has one among others."""
+    most = 0
+    for groups in NAMES.findall(attributes):
+        for token in "".join(groups).split():
+            parts = WORD.findall(CAMEL.sub(" ", token).lower())
+            if not words.isdisjoint(parts):
+                most = max(most, 2 if all(p in words or p in AROUND or p in PLACES for p in parts) else 1)
+    return most
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, tag, attributes) in page order; a tag is its lower-case name, led by / if it closes.
+
+    One pass: every search starts behind the last, and what was not found once is not looked
+    for again. Comments and declarations without an end stop at the next >, a cut-off tag
+    at the end of the page. Elements without text of the page are passed over up to their
+    closing tag; one without it loses no more than the text up to the next tag.
+    """
+    begin = at = 0
+    missing: set[str] = set()
+    parts: list[str] = []
+
+    def end_of(mark: str, start: int) -> int:
+        if mark not in missing:
+            found = page.find(mark, start)
+            if found >= 0:
+                return found + len(mark)
+            missing.add(mark)
+        return -1
+
+    while (at := page.find("<", at)) >= 0:
+        close = page.startswith("/", at + 1)
+        name = NAME.match(page, at + 1 + close)
+        if not name:
+            if page.startswith("<![CDATA[", at) and (stop := end_of("]]>", at)) > 0:
+                parts += [page[begin:at], page[at + 9: stop - 3].replace("&", "&amp;")]
+            elif page.startswith("<!", at) or page.startswith("<?", at) or close:
+                stop = end_of("-->", at + 4) if page.startswith("<!--", at) else -1
+                stop = stop if stop > 0 else end_of(">", at) if end_of(">", at) > 0 else len(page)
+                parts.append(page[begin:at])
+            else:
+                at += 1  # a sign, not a tag
+                continue
+            begin = at = stop
+            continue
+        tag, start = name[0].lower(), name.end()
+        whole = TAG_END.match(page, start)
+        stop = whole.end() if whole else end_of(">", start)
+        stop = stop if stop > 0 else len(page)
+        attributes = page[start: stop - 1]
+        parts.append(page[begin:at])
+        if tag in UNSEEN and not close:
+            if attributes.endswith("/") and tag in FOREIGN:
+                parts.append(" ")
+            elif f"</{tag}" not in missing and (over := closing(tag).search(page, stop)):
+                stop = over.end()
+                parts.append(" ")
+            else:
+                missing.add(f"</{tag}")
+                parts.append(" ")
+                if tag in RAW:
+                    over = page.find("<", stop)
+                    stop = over if over >= 0 else len(page)
+            begin = at = stop
+            continue
+        yield "".join(parts), "/" + tag if close else tag, attributes
+        parts.clear()
+        begin = at = stop
+    parts.append(page[begin:])
+    yield "".join(parts), "", ""
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, markup resolved as far as open tags allow."""
     found: list[Block] = []
-    stack: list[tuple] = [("", False, False, False, False)]  # name, inside, boiler, around, remark
+    stack: list[tuple] = [("", False, False, 0, 0)]  # name, inside, boiler, around, remark
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
     in_link = False
-    leaf = (False, False, False)  # around, remark, heading of the open paragraph
-    at, end = 0, len(page)
+    plain = (0, 0, False, False)
+    leaf = plain  # around, remark, heading and paragraph of the open leaf
 
     def flush() -> None:
-        nonlocal text, linked
         if text:
             raw = "".join(text)
             words = (entities.unescape(raw) if "&" in raw else raw).split()
@@ -74,158 +161,171 @@ def blocks(page: str) -> list[Block]:
                 n_linked = len("".join(linked).split()) if linked else 0
                 _, inside, boiler, around, remark = stack[-1]
                 found.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)),
-                                   inside, boiler, around or leaf[0], remark or leaf[1], leaf[2]))
-            text, linked = [], []
-
-    while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            text.append(page[at:stop])
+                                   inside, boiler, max(around, leaf[0]), max(remark, leaf[1]), leaf[2], leaf[3]))
+            text.clear()
+            linked.clear()
+
+    for before, tag, attributes in markup(page):
+        if before:
+            text.append(before)
             if in_link:
-                linked.append(page[at:stop])
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        closing = bool(m[1] or m[4])
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        if name in UNSEEN and not closing:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
-            text.append(" ")
-            continue
+                linked.append(before)
+        name = tag.removeprefix("/")
         if name in INLINE:
             if name == "a":
-                in_link = not closing
+                in_link = tag == "a"
             elif name == "br":
                 text.append(" ")
             continue
         flush()
-        in_link = False
-        leaf = (False, False, False)
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+        in_link, leaf = False, plain
+        if tag.startswith("/"):
+            while opened[name]:  # an element that is not open closes nothing
+                top = stack.pop()[0]
+                opened[top] -= 1
+                if top == name:
                     break
             continue
-        named: set[str] = set()
-        if attributes := m[3] or m[6]:
-            for groups in NAMES.findall(attributes):
-                named.update(WORD.findall("".join(groups).lower()))
-        around, remark = bool(named & AROUND), bool(named & REMARKS)
+        around, remark = (named(attributes, AROUND), named(attributes, REMARKS)) if attributes else (0, 0)
         if name in LEAVES:
-            leaf = (around, remark, name in ("h1", "h2", "h3"))
-        elif name not in VOID and name not in ("html", "body", "head"):
+            leaf = (around, remark, name in HEADINGS, name not in HEADINGS)
+        elif name not in VOID and name not in ("", "html", "body", "head"):
             _, p_inside, p_boiler, p_around, p_remark = stack[-1]
             if name in CONTENT:
-                stack.append((name, True, False, around, remark or p_remark))
+                stack.append((name, True, False, p_around // 2, max(remark, p_remark)))
             else:
-                stack.append((name, p_inside, p_boiler or name in BOILER, around or p_around, remark or p_remark))
-    flush()
+                stack.append((name, p_inside, p_boiler or name in BOILER, max(around, p_around), max(remark, p_remark)))
+            opened[name] += 1
     return found
 
 
 #: The labelled table: words, link density, words and link density of the block before and of the
 #: one after, where (2 inside the page's article, 1 the page has none, 0 outside it), boilerplate
-#: element, surrounding name, reader comment, heading; then 1 for main text.
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "where", "boiler", "around", "remark", "heading")
+#: element, surrounding name, reader comment, heading, paragraph; then 1 for main text.
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "where", "boiler", "around", "remark",
+            "heading", "paragraph")
 LABELLED = """
-60 0.00   9 0.00  45 0.00  2 0 0 0 0  1
-45 0.05  60 0.00  80 0.10  2 0 0 0 0  1
- 1 0.00  30 0.00  52 0.00  2 0 0 0 0  1
- 2 0.00   1 0.00   1 0.00  2 0 0 0 0  1
- 1 0.00   1 0.00   6 0.00  2 0 0 0 0  1
- 9 0.00   6 0.00  60 0.00  2 0 0 0 1  1
-11 0.00   1 1.00  24 0.00  2 0 0 0 1  1
- 5 1.00  40 0.00  38 0.00  2 0 0 0 0  1
- 7 0.60  25 0.10   0 0.00  2 0 0 0 0  1
-30 0.30  12 0.00   5 0.00  2 0 0 0 0  1
-55 0.00  20 0.00   2 1.00  2 0 0 0 0  1
-14 0.00   3 1.00   4 1.00  2 0 0 0 0  1
- 2 0.00   1 1.00   1 1.00  2 0 0 0 0  1
- 4 0.00  20 0.00   3 1.00  2 0 0 0 0  1
-90 0.01   2 1.00   1 1.00  2 0 0 0 0  1
- 6 0.00   1 1.00   2 1.00  2 0 0 0 1  1
- 1 0.00  22 0.00   6 0.80  2 0 0 0 0  1
- 3 1.00   2 1.00   2 1.00  2 0 0 0 0  1
-11 0.00  30 0.00   1 1.00  2 0 0 0 0  1
- 4 0.00  70 0.00   6 0.00  2 0 0 0 0  1
- 8 0.00   3 1.00  90 0.00  2 1 0 0 1  1
- 3 0.00   1 1.00  12 0.00  2 1 0 0 1  1
- 1 0.00  20 0.00   4 0.00  2 1 0 0 1  1
-15 0.00   2 1.00   3 1.00  2 1 0 0 1  1
- 3 0.00   8 0.00  90 0.00  2 1 0 0 0  0
- 6 1.00  40 0.00   6 1.00  2 1 0 0 0  0
-22 0.00  44 0.00   2 0.00  2 1 0 0 0  0
-12 0.00  50 0.00  61 0.00  2 0 1 0 0  0
- 5 0.00  33 0.00  47 0.00  2 0 1 0 0  0
-40 0.10  33 0.00  47 0.00  2 0 1 0 0  0
- 3 0.00  33 0.00  20 0.00  2 0 1 0 1  0
-25 0.00  70 0.00  31 0.00  2 0 0 1 0  0
-80 0.00  25 0.00   9 0.00  2 0 0 1 0  0
- 2 0.00  60 0.00  25 0.00  2 0 0 1 1  0
- 1 1.00   0 0.00   1 1.00  0 1 0 0 0  0
- 2 1.00   1 1.00   8 0.00  0 1 0 0 0  0
- 8 0.00   1 1.00   9 0.00  0 0 1 0 0  0
-30 0.00   9 0.00  11 0.00  0 0 1 0 0  0
-12 0.00  55 0.00   0 0.00  0 1 0 0 0  0
-65 0.02  55 0.00   0 0.00  0 1 0 0 0  0
- 6 0.00  55 0.00   0 0.00  0 0 0 0 0  0
-50 0.00   4 0.00  70 0.00  0 0 0 0 0  0
- 9 0.00   2 1.00  30 0.00  0 0 0 0 1  0
-40 0.00  30 0.00   9 0.00  0 0 0 1 0  0
-75 0.00  10 0.00  64 0.00  1 0 0 0 0  1
-40 0.10  75 0.00  20 0.00  1 0 0 0 0  1
-25 0.05  40 0.00   3 0.00  1 0 0 0 0  1
- 9 0.00  60 0.00  48 0.00  1 0 0 0 0  1
- 3 0.00  45 0.00  33 0.00  1 0 0 0 0  1
- 8 0.00   1 1.00  70 0.00  1 0 0 0 1  1
-14 0.00   8 0.00  33 0.00  1 0 0 0 0  1
-18 0.00  14 0.00  12 0.00  1 0 0 0 0  1
-50 0.00  30 0.00   2 1.00  1 0 0 0 0  1
-35 0.00   2 1.00   3 1.00  1 0 0 0 0  1
-16 0.05  40 0.00   1 1.00  1 0 0 0 0  1
- 4 1.00   4 1.00   3 1.00  1 0 0 0 0  0
- 3 1.00  50 0.00   4 1.00  1 0 0 0 0  0
-12 0.90   4 1.00   9 0.80  1 0 0 0 0  0
- 6 0.00   4 1.00   3 1.00  1 0 0 0 0  0
- 3 0.00   2 1.00   2 0.00  1 0 0 0 0  0
- 5 0.00   3 1.00   0 0.00  1 0 0 0 0  0
- 7 0.50   5 0.50   0 0.00  1 0 0 0 0  0
-30 0.00  50 0.00  12 0.00  1 1 0 0 0  0
- 2 1.00   2 1.00   2 1.00  1 1 0 0 0  0
- 9 0.00   2 1.00  44 0.00  1 1 0 0 1  0
-28 0.00  60 0.00  40 0.00  1 0 1 0 0  0
- 6 0.00  60 0.00  40 0.00  1 0 1 0 1  0
-45 0.00  60 0.00  40 0.00  1 0 0 1 0  0
- 4 0.00  50 0.00  45 0.00  1 0 0 1 1  0
+60 0.00   9 0.00  45 0.00  2 0 0 0 0 1  1
+45 0.05  60 0.00  80 0.10  2 0 0 0 0 1  1
+ 1 0.00  30 0.00  52 0.00  2 0 0 0 0 1  1
+ 2 0.00   1 0.00   1 0.00  2 0 0 0 0 1  1
+ 1 0.00   1 0.00   6 0.00  2 0 0 0 0 1  1
+ 9 0.00   6 0.00  60 0.00  2 0 0 0 1 0  1
+11 0.00   1 1.00  24 0.00  2 0 0 0 1 0  1
+ 5 1.00  40 0.00  38 0.00  2 0 0 0 0 1  1
+ 7 0.60  25 0.10   0 0.00  2 0 0 0 0 1  1
+30 0.30  12 0.00   5 0.00  2 0 0 0 0 1  1
+55 0.00  20 0.00   2 1.00  2 0 0 0 0 1  1
+14 0.00   3 1.00   4 1.00  2 0 0 0 0 1  1
+ 2 0.00   1 1.00   1 1.00  2 0 0 0 0 1  1
+ 4 0.00  20 0.00   3 1.00  2 0 0 0 0 1  1
+90 0.01   2 1.00   1 1.00  2 0 0 0 0 1  1
+ 6 0.00   1 1.00   2 1.00  2 0 0 0 1 0  1
+ 1 0.00  22 0.00   6 0.80  2 0 0 0 0 1  1
+ 3 1.00   2 1.00   2 1.00  2 0 0 0 0 1  0
+11 0.00  30 0.00   1 1.00  2 0 0 0 0 1  1
+ 4 0.00  70 0.00   6 0.00  2 0 0 0 0 1  1
+ 8 0.00   3 1.00  90 0.00  2 1 0 0 1 0  1
+ 3 0.00   1 1.00  12 0.00  2 1 0 0 1 0  1
+ 1 0.00  20 0.00   4 0.00  2 1 0 0 1 0  1
+15 0.00   2 1.00   3 1.00  2 1 0 0 1 0  1
+ 3 0.00   8 0.00  90 0.00  2 1 0 0 0 1  0
+ 6 1.00  40 0.00   6 1.00  2 1 0 0 0 1  0
+22 0.00  44 0.00   2 0.00  2 1 0 0 0 1  0
+12 0.00  50 0.00  61 0.00  2 0 2 0 0 1  0
+ 5 0.00  33 0.00  47 0.00  2 0 2 0 0 1  0
+40 0.10  33 0.00  47 0.00  2 0 2 0 0 1  0
+ 3 0.00  33 0.00  20 0.00  2 0 2 0 1 0  0
+25 0.00  70 0.00  31 0.00  2 0 0 2 0 1  0
+80 0.00  25 0.00   9 0.00  2 0 0 2 0 1  0
+ 2 0.00  60 0.00  25 0.00  2 0 0 2 1 0  0
+ 1 1.00   0 0.00   1 1.00  0 1 0 0 0 1  0
+ 2 1.00   1 1.00   8 0.00  0 1 0 0 0 1  0
+ 8 0.00   1 1.00   9 0.00  0 0 2 0 0 1  0
+30 0.00   9 0.00  11 0.00  0 0 2 0 0 1  0
+12 0.00  55 0.00   0 0.00  0 1 0 0 0 1  0
+65 0.02  55 0.00   0 0.00  0 1 0 0 0 1  0
+ 6 0.00  55 0.00   0 0.00  0 0 0 0 0 1  0
+50 0.00   4 0.00  70 0.00  0 0 0 0 0 1  0
+ 9 0.00   2 1.00  30 0.00  0 0 0 0 1 0  0
+40 0.00  30 0.00   9 0.00  0 0 0 2 0 1  0
+75 0.00  10 0.00  64 0.00  1 0 0 0 0 1  1
+40 0.10  75 0.00  20 0.00  1 0 0 0 0 1  1
+25 0.05  40 0.00   3 0.00  1 0 0 0 0 1  1
+ 9 0.00  60 0.00  48 0.00  1 0 0 0 0 1  1
+ 3 0.00  45 0.00  33 0.00  1 0 0 0 0 1  1
+ 8 0.00   1 1.00  70 0.00  1 0 0 0 1 0  1
+14 0.00   8 0.00  33 0.00  1 0 0 0 0 1  1
+18 0.00  14 0.00  12 0.00  1 0 0 0 0 1  1
+50 0.00  30 0.00   2 1.00  1 0 0 0 0 1  1
+35 0.00   2 1.00   3 1.00  1 0 0 0 0 1  1
+16 0.05  40 0.00   1 1.00  1 0 0 0 0 1  1
+ 4 1.00   4 1.00   3 1.00  1 0 0 0 0 1  0
+ 3 1.00  50 0.00   4 1.00  1 0 0 0 0 1  0
+12 0.90   4 1.00   9 0.80  1 0 0 0 0 1  0
+ 6 0.00   4 1.00   3 1.00  1 0 0 0 0 0  0
+ 3 0.00   2 1.00   2 0.00  1 0 0 0 0 0  0
+ 5 0.00   3 1.00   0 0.00  1 0 0 0 0 0  0
+ 7 0.50   5 0.50   0 0.00  1 0 0 0 0 1  0
+30 0.00  50 0.00  12 0.00  1 1 0 0 0 1  0
+ 2 1.00   2 1.00   2 1.00  1 1 0 0 0 1  0
+ 9 0.00   2 1.00  44 0.00  1 1 0 0 1 0  0
+28 0.00  60 0.00  40 0.00  1 0 2 0 0 1  0
+ 6 0.00  60 0.00  40 0.00  1 0 2 0 1 0  0
+45 0.00  60 0.00  40 0.00  1 0 0 2 0 1  0
+ 4 0.00  50 0.00  45 0.00  1 0 0 2 1 0  0
+30 0.00  20 0.00  40 0.00  2 0 1 0 0 1  1
+12 0.00  40 0.00  12 0.00  2 0 1 0 0 1  1
+25 0.10   6 0.00   8 0.00  2 0 1 0 0 0  1
+ 5 0.00  40 0.00  33 0.00  2 0 1 0 0 0  0
+ 3 1.00   3 1.00   4 1.00  2 0 1 0 0 1  0
+ 9 0.90  30 0.00  25 0.00  2 0 1 0 0 1  0
+28 0.00  35 0.00  22 0.00  2 0 0 1 0 1  1
+ 4 0.00  50 0.00  18 0.00  2 0 0 1 0 0  0
+30 0.00  20 0.00  40 0.00  1 0 1 0 0 1  1
+ 4 0.00  20 0.00  40 0.00  1 0 1 0 0 0  0
+ 5 0.90  20 0.00   6 0.90  1 0 1 0 0 1  0
+ 4 0.00   0 0.00   3 0.00  1 0 0 0 0 1  1
+ 3 0.00   4 0.00   5 0.00  1 0 0 0 0 1  1
+ 5 0.00   3 0.00   0 0.00  1 0 0 0 0 1  1
+ 2 0.00   5 0.00   4 0.00  1 0 0 0 0 1  1
+ 2 0.00   3 1.00   4 1.00  1 0 0 0 0 1  0
+ 4 0.00   2 1.00   2 1.00  1 0 0 0 0 1  0
+ 3 0.00   2 1.00   0 0.00  1 0 0 0 0 0  0
+ 4 1.00  40 0.00   3 1.00  2 0 0 0 0 1  0
+ 4 1.00   3 1.00  40 0.00  2 0 0 0 0 1  0
+ 2 1.00   4 1.00   5 1.00  2 0 0 0 0 1  0
+ 4 1.00  40 0.00  12 0.00  2 0 0 0 0 1  1
+ 8 0.40   3 1.00  30 0.00  2 0 0 0 0 1  1
 """
 
-
-#: Plain blocks of every length beside every kind of neighbour: (words, link density).
-LENGTHS, NEIGHBOURS = (1, 4, 15, 60), ((0, 0.0), (2, 1.0), (5, 0.0), (40, 0.0))
+#: Blocks of every length and link density beside every kind of neighbour: (words, link density).
+LENGTHS, DENSITIES, NEIGHBOURS = (1, 4, 12, 60), (0.0, 0.4, 1.0), ((0, 0.0), (2, 1.0), (5, 0.0), (40, 0.0))
 
 
 def labelled() -> list[tuple[list[float], int]]:
-    """The table, and plain blocks: all are main text inside an article and none outside it;
-    in a page without an article those are that are long or next to a long one, and nowhere
-    those in boilerplate elements, of surrounding names or of readers."""
+    """The table, and unnamed blocks in all combinations of lengths and link densities.
+
+    Inside an article a linked block next to another one belongs to a list of links, any
+    other is main text; of a vague surrounding name, just what is long and not linked. In a
+    page without an article paragraphs are main text unless linked or among links, other
+    blocks if they are long or next to a long one. Nothing is outside of an article, or in
+    boilerplate elements, or of a plainly surrounding name.
+    """
     rows = [[float(x) for x in line.split()] for line in LABELLED.strip().splitlines()]
     table = [(r[:-1], int(r[-1])) for r in rows]
-    for words, before, after in itertools.product(LENGTHS, NEIGHBOURS, NEIGHBOURS):
-        x = [words, 0.0, *before, *after]
-        table += [(x + [2, 0, 0, 0, 0], 1), (x + [0, 0, 0, 0, 0], 0)]
-        table += [(x + [where, *flags, 0], 0) for where in (1, 2) for flags in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
-        table.append((x + [1, 0, 0, 0, 0], int(max(words, before[0], after[0]) >= 15)))
+    for words, density, before, after, paragraph in itertools.product(LENGTHS, DENSITIES, NEIGHBOURS, NEIGHBOURS, (0, 1)):
+        x, linked = [words, density, *before, *after], [d == 1.0 for d in (density, before[1], after[1])]
+        longest = max(w for w, d in ((words, density), before, after) if d < 1.0) if not all(linked) else 0
+        table.append((x + [2, 0, 0, 0, 0, paragraph], int(not (linked[0] and (linked[1] or linked[2])))))
+        table.append((x + [0, 0, 0, 0, 0, paragraph], 0))
+        table += [(x + [2, 0, *flag, 0, paragraph], int(words >= 12 and density < 1.0)) for flag in ((1, 0), (0, 1))]
+        table += [(x + [where, *flags, 0, paragraph], 0) for where in (1, 2) for flags in ((1, 0, 0), (0, 2, 0), (0, 0, 2))]
+        table.append((x + [1, 0, 0, 0, 0, paragraph], int(not linked[0] and (longest >= 12 or bool(paragraph) and not (linked[1] or linked[2])))))
     return table
 
 
-def grow(rows: list[tuple[list[float], int]], depth: int = 10):
+def grow(rows: list[tuple[list[float], int]], depth: int = 14):
     """A decision tree by Gini impurity: a label, or (feature, threshold, at most, above)."""
     ones = sum(y for _, y in rows)
     if not depth or ones in (0, len(rows)):
@@ -272,7 +372,7 @@ def main_text(page: str | None) -> str:
         after = found[i + 1] if i + 1 < len(found) else None
         x = [b.words, b.link_density, before.words if before else 0, before.link_density if before else 0.0,
              after.words if after else 0, after.link_density if after else 0.0,
-             2 if b.inside else 0 if has else 1, b.boiler, b.around, b.remark, b.heading]
+             2 if b.inside else 0 if has else 1, b.boiler, b.around, b.remark, b.heading, b.paragraph]
         if judge(model, x):
             kept.append(b.text)
     return "\n".join(kept)

@@ -1,10 +1,12 @@
 """The ten operators against brute force, on rows with nulls, odd texts, ties, repeats and clashing columns."""
 
 import hashlib
+import html.parser
 import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -384,7 +386,14 @@ def test_main_text_odd_pages(spark):
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<nav><a>x</a></nav>") == ""
     assert htmltext.main_text("<article><p>cut &am") == "cut &am"
     assert htmltext.main_text("<article><p>cut <b") == "cut"
-    assert htmltext.main_text("<article><p>a <script>never closed </p><p>x") == "a"
+    assert htmltext.main_text("<article><p>a <script>never closed </p><p>x") == "a\nx"
+    assert htmltext.main_text('<article><p>a</p><svg class="icon"/><p>b</p><svg><p>c</p></article>') == "a\nb\nc"
+    assert htmltext.main_text('<article class="post search-post"><p>hello there</p></article>') == "hello there"
+    long = " ".join(["word"] * 20)
+    assert htmltext.main_text(f'<article><p>{long}</p><div class="recommended-reading"><p>{long} x</p></div><div class="cookie-notice"><p>{long} y</p></div></article>') == f"{long}\n{long} x"
+    assert htmltext.main_text("<p>One short.</p><p>Two short.</p><p>Three short ones.</p>") == "One short.\nTwo short.\nThree short ones."
+    links = "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "About us", "More"))
+    assert htmltext.main_text(f"<article><p>{long}</p><ul>{links}</ul><p>See <a href=y>this</a>.</p></article>") == f"{long}\nSee this."
     assert htmltext.main_text("<article><p>a<a href='x>b</p><p>c</p>") .endswith("c")
     plain = " ".join(["word"] * 40)
     assert htmltext.main_text(f"<div class=menu><a>m</a></div><div><p>{plain}</p><p>{plain} x</p></div><footer>f</footer>") == f"{plain}\n{plain} x"
@@ -393,6 +402,47 @@ def test_main_text_odd_pages(spark):
         {"page_id": 1, "url": "u", "text": "", "n_chars": 0}, *[{"page_id": 2, "url": None, "text": "t", "n_chars": 1}] * 2]))
 
 
+def test_malformed_pages_take_linear_time():
+    began = time.process_time()
+    for page in ('<article><p>x<img ' + "a" * 2_000_000 + '="> y</p><p>' + "z " * 200_000, "<a " * 200_000 + '"', "<svg>" * 100_000, "<!-- " * 200_000,
+                 '<a ">' * 100_001, "<div>" * 100_000 + "</x>" * 100_000, "<i a='" * 100_001, "<![CDATA[" * 100_000, "<" * 500_000):
+        htmltext.main_text(page)
+    assert time.process_time() - began < 30
+
+
+class Plain(html.parser.HTMLParser):
+    """Text of the article's headings and paragraphs by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "h2", "div", "ul", "li", "nav", "footer", "article"):
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        self.handle_starttag(tag, ())
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.out.append(self.out.pop() + data if self.out else data)
+
+
+def test_pages_against_a_plain_parser(spark):
+    """Every page of the smallest table has one article of headings and paragraphs."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        parser = Plain()
+        parser.feed(r["html"].replace("<br>", " "))
+        want[r["page_id"]] = "\n".join(t for t in (" ".join(x.split()) for x in parser.out) if t)
+    made = {r["page_id"]: r for r in htmltext.extract_text(pages).collect()}
+    assert {k: r["text"] for k, r in made.items()} == want and all(r["n_chars"] == len(r["text"]) for r in made.values())
+
+
 # --- 9 ---
 
 def parse_slowly(text, sample):
