@@ -20,6 +20,18 @@ def links(pages: DataFrame, contains: str = "") -> DataFrame:
     return found.select("page_id", "pos", link.alias("link")).where(F.contains("link", F.lit(contains)))
 
 
+def discovered(pages: DataFrame, marks: list[str], most: int) -> DataFrame:
+    """rank, link: links with any of ``marks`` in them, each once by its first spelling whatever the case, the first ``most`` in page order."""
+    found = links(pages)
+    if marks:
+        found = found.where(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(F.col("link"), m)))
+    first = found.groupBy(F.lower(F.trim("link")).alias("spelled")).agg(F.min(F.struct("page_id", "pos", "link")).alias("m"))
+    best = first.select("m.*").orderBy("page_id", "pos").limit(most)
+    from pyspark.sql import Window
+
+    return best.select(F.row_number().over(Window.orderBy("page_id", "pos")).alias("rank"), "link")  # ``most`` rows
+
+
 _ELEMENT = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>")
 _VOID = {"br", "img", "input", "hr", "meta", "link"}
 
@@ -122,6 +134,17 @@ def table_rows(pages: DataFrame) -> DataFrame:
     return found.select("page_id", table_field(F.get("cells", F.lit(0))).alias("field"), F.get("cells", F.lit(1)).alias("value")).where("field IS NOT NULL")
 
 
+# fixed values: what a job row shows where it has nothing
+JOB_DEFAULTS = {"title": "N/A", "company": "N/A", "location": "Bắc Kạn", "updated": "N/A", "url": "N/A"}
+
+
+def job_rows(rows: DataFrame, terms: str = "terms") -> DataFrame:
+    """The seven columns of a job listing from title, company, location, updated, url and ``terms`` ('salary | level')."""
+    own = {c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(d)) for c, d in JOB_DEFAULTS.items()}
+    cells = own | job_salary(F.col(terms))
+    return rows.select(*[cells[c].alias(c) for c in ("title", "company", "location", "salary", "level", "updated", "url")])
+
+
 def job_salary(text: Column) -> dict[str, Column]:
     """Salary and level of a job row's 'salary | level'; defaults where they are missing."""
     parts = F.transform(F.split(text, r"\|"), lambda x: F.trim(x))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,33 +34,63 @@ def doc_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Index:
+    """postings (term, doc_id, tf, dl), terms (term, df) and meta, one row: total_docs, avgdl, total_terms."""
+
     postings: DataFrame
-    stats: DataFrame
+    terms: DataFrame
+    meta: DataFrame
+
+
+def meta_row(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count(F.lit(1)).alias("total_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total_terms"))
+
+
+def postings_with_length(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, doc_id, tf and dl: the document's length goes with each posting, so that a search joins no documents."""
+    cut = docs.select("doc_id", T.terms(F.col(text)).alias("terms"))
+    flat = cut.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    return flat.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "doc_id", "tf", "dl")
+
 
-    @property
-    def meta(self) -> DataFrame:
-        """One row: total_docs, avgdl."""
-        return self.stats.agg(F.count(F.lit(1)).alias("total_docs"), F.avg("dl").alias("avgdl"))
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def index_of(docs: DataFrame, text: str = "text") -> Index:
-    return Index(postings(docs, text), doc_stats(docs, text))
+    made = postings_with_length(docs, text)
+    return Index(made, document_frequencies(made), meta_row(doc_stats(docs, text)))
 
 
 def write_index(docs: DataFrame, folder: str, text: str = "text") -> Index:
-    """Tables of the index; postings are ranged and sorted by term, so a term's lookup skips row groups."""
-    made = index_of(docs, text)
-    (made.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-     .write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{folder}/postings"))
-    made.stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
-    return read_index(docs.sparkSession, folder)
+    """Tables of the index; postings and terms are ranged and sorted by term, so a term's lookup skips row groups."""
+    spark = docs.sparkSession
+
+    def write(rows, name, *order):
+        (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+         .write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{folder}/{name}"))
+
+    stats = doc_stats(docs, text)
+    stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
+    meta_row(spark.read.schema("doc_id long, dl int").parquet(f"{folder}/doc_stats")).write.mode("overwrite").parquet(f"{folder}/meta")
+    write(postings_with_length(docs, text), "postings", "term", "doc_id")
+    write(document_frequencies(read_index(spark, folder).postings), "terms", "term")
+    return read_index(spark, folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> Index:
-    return Index(
-        spark.read.schema("doc_id long, term string, tf int").parquet(f"{folder}/postings"),
-        spark.read.schema("doc_id long, dl int").parquet(f"{folder}/doc_stats"),
-    )
+    """The index of a folder; tables that are not there are empty."""
+    from pyspark.errors import AnalysisException
+
+    def read(name, schema):
+        try:
+            return spark.read.schema(schema).parquet(f"{folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    return Index(read("postings", "term string, doc_id long, tf int, dl int"), read("terms", "term string, df long"),
+                 read("meta", "total_docs long, avgdl double, total_terms long"))
 
 
 # --- BM25 ----------------------------------------------------------------------------
@@ -82,16 +113,14 @@ def query_rows(spark: SparkSession, batches: list[tuple[int, list[str]]]) -> Dat
 def bm25_parts(index: Index, queries: DataFrame) -> DataFrame:
     """qid, doc_id, term, pos, tf and score of every match.
 
-    The queries are as long as what users typed and are sent to the postings; the scan is
-    cut to their terms first. Document frequencies come from the matches themselves.
+    The queries are as long as what users typed: their terms are bound into the plan, so
+    the one scan of the postings skips all row groups without them, and nothing is shuffled.
     """
-    spark = queries.sparkSession
-    wanted = queries.select("term").distinct()
-    hits = index.postings.join(F.broadcast(wanted), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per query term
+    wanted = [r["term"] for r in queries.select("term").distinct().collect()]
+    df = index.terms.where(F.col("term").isin(wanted))  # one row per query term
     return (
-        hits.join(F.broadcast(df), "term").join(F.broadcast(queries), "term")
-        .join(index.stats, "doc_id").crossJoin(F.broadcast(index.meta))  # one row
+        index.postings.where(F.col("term").isin(wanted)).join(F.broadcast(df), "term").join(F.broadcast(queries), "term")
+        .crossJoin(F.broadcast(index.meta))  # one row
         .select("qid", "doc_id", "term", "pos", "tf",
                 bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("total_docs"), F.col("df"))).alias("score"))
     )
@@ -226,10 +255,12 @@ def fuse(lexical: DataFrame, vector: DataFrame, w_lexical: float = 0.5, w_vector
 
 
 def contains_text(c: Column, part: str) -> Column:
-    """NFC lower-case containment; an empty part is everywhere."""
-    return F.lit(True) if not part else F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(part.lower()))
+    """Lower-case containment of a part in composed form, as texts are since ingest; an empty part is everywhere."""
+    part = unicodedata.normalize("NFC", part).lower()
+    return F.lit(True) if not part else F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(part))
 
 
+# fixed values: the status words of the registry
 ACTIVE, INACTIVE = "Đang hoạt động", "Ngừng hoạt động"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import nfc
+
 # fixed values: the company record's fields and their short names
 COMPANY_FIELDS = {
     "Tên doanh nghiệp": "name", "Tên giao dịch": "trade_name", "Địa chỉ": "address", "Ngành nghề kinh doanh": "industry",
@@ -15,21 +17,23 @@ REVIEW = "rating string, role string, title string, meta string, pros string, co
 COMPANY_SCHEMA = ", ".join(f"`{k}` string" for k in COMPANY_FIELDS) + f", reviews array<struct<{REVIEW.replace(' string', ': string')}>>"
 
 
-def read_companies(spark: SparkSession, path: str) -> DataFrame:
+def read_companies(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     """Companies with doc_id, their ordinal among valid non-empty lines; bad and blank lines are skipped.
 
     The ordinal is file order: per-file-block counts first, so no task numbers all rows.
+    Texts are composed (NFC) here once; ``keep_empty`` numbers lines without any field too,
+    as a store of documents does.
     """
     raw = spark.read.schema(COMPANY_SCHEMA + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     some = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in COMPANY_FIELDS], F.to_json("reviews")).isNotNull()
-    rows = raw.where(F.col("_corrupt_record").isNull() & some).drop("_corrupt_record")
+    rows = raw.where(F.col("_corrupt_record").isNull() & (F.lit(keep_empty) | some)).drop("_corrupt_record")
     marked = rows.withColumn("line_no", F.monotonically_increasing_id()).withColumn("block", F.shiftright("line_no", 33))
     counts = marked.groupBy("block").count()
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("block").orderBy("line_no")) - 1
     numbered = marked.withColumn("nth", nth).join(F.broadcast(starts), "block")
-    return numbered.select((F.col("first") + F.col("nth")).alias("doc_id"), *[F.col(f"`{k}`").alias(v) for k, v in COMPANY_FIELDS.items()], "reviews")
+    return numbered.select((F.col("first") + F.col("nth")).alias("doc_id"), *[nfc(F.col(f"`{k}`")).alias(v) for k, v in COMPANY_FIELDS.items()], "reviews")
 
 
 def corrupt_lines(spark: SparkSession, path: str) -> int:
@@ -51,6 +55,18 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -
             .option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path))
 
 
+def csv_to_json_lines(spark: SparkSession, csv: str, out: str, schema: str) -> None:
+    """A CSV file's rows as JSON lines; empty cells stay as nulls."""
+    write_json_lines(read_csv(spark, csv, schema), out)
+
+
+def count_elements(spark: SparkSession, path: str) -> DataFrame:
+    """path and n: the elements of each JSON file's list, or the keys of its object."""
+    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    n = F.coalesce(F.json_array_length("value"), F.size(F.json_object_keys("value")))
+    return whole.select("path", n.cast("long").alias("n"))
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
 

@@ -25,6 +25,22 @@ def ingest_once(stream: DataFrame, out: str, checkpoint: str, key: str, watermar
     query.awaitTermination()
 
 
+def ingest_every(stream: DataFrame, out: str, checkpoint: str, key: str, every: str = "2 seconds", late: tuple[str, str] | None = None):
+    """As ingest_once(), but going on: what came in is written every ``every``. Returns the running query."""
+    rows = stream.withWatermark(*late).dropDuplicatesWithinWatermark([key]) if late else stream.dropDuplicates([key])
+    return (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=every).outputMode("append").start())
+
+
+def windows_of_stream(events: DataFrame, out: str, checkpoint: str, **how) -> None:
+    """windowed() over a stream to Parquet until its input is used up; a window is written once its watermark has passed."""
+    # a watermark needs a time with a zone: the session's
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = windowed(timed, **how).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).outputMode("append").start().awaitTermination())
+
+
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event-time window and type; the same on a stream and on a table."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
