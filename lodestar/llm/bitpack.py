@@ -165,7 +165,11 @@ def write_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, all from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, all from the files.
+
+    ``start`` counts the ids of all documents before it in the order of doc_id, a null one
+    first. Files are read one at a time. No files: no rows.
+    """
     totals = files.groupBy("range_no").agg(F.sum("n_ids").alias("ids"))  # one row per range partition
     before = Window.partitionBy("range_no").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +59,41 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return table
+
+
+#: Paths that saved() made in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes what saved() makes inside when it ends, but for tables that are kept.
+
+    It yields the function that keeps a saved table. What leaves the block may read kept
+    tables only.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.saved_at)
+        return table
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in set(own) - set(kept):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def offsets(totals: DataFrame, key: str, amounts: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import mapped, saved, with_group
+from lodestar.llm.common import mapped, saved, scratch, with_group
 
 #: Edges that a task thins out at a time; its table of nodes is bounded by twice as many.
 BLOCK = 1 << 17
@@ -51,7 +51,11 @@ def components(edges: DataFrame, block: int | None = None, most_rounds: int = 10
     broadcast. Over ``most_rounds`` rounds are an error. Links of a node with itself do
     not count. No edges: no rows.
     """
-    block = block or BLOCK
+    with scratch(edges.sparkSession) as keep:
+        return keep(saved(_components(edges, block or BLOCK, most_rounds)))
+
+
+def _components(edges: DataFrame, block: int, most_rounds: int) -> DataFrame:
     n = edges.count()
     while n:
         blocks = -(-n // block)

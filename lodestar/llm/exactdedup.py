@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import saved, with_group
+from lodestar.llm.common import BROADCAST_IDS, saved, scratch, with_group
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 4096
-#: A name is a bucket number of this many bits, then the rank among the bucket's sorted contents.
-BUCKET_BITS, RANK_BITS = 47, 16
+#: A name has 63 bits: a bucket number of this many, then the rank among the bucket's sorted contents.
+#: Of 2**35 different blocks (some 100 TB) about 2**13 share a bucket, and hardly three one.
+BUCKET_BITS = 56
 #: Contents of crowded buckets are sent to all tasks up to this many rows, else joined by shuffle.
 CROWDED_ROWS = 10_000
-#: So many ids of dropped documents are sent to all tasks; more are joined by shuffle.
-BROADCAST_IDS = 100_000
 
 
-def normalised() -> Column:
+def normalised(text: str = "text") -> Column:
     """The text with A-Z lower-cased; null is empty."""
-    return F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
 
 
 def _bucket(*content: Column, bits: int) -> Column:
@@ -38,19 +37,36 @@ def _crowded(contents: DataFrame, bits: int) -> DataFrame | None:
         return None
     few = F.broadcast(full) if n <= CROWDED_ROWS else full
     ranked = distinct.join(few, "bucket", "left_semi").groupBy("bucket").agg(F.array_sort(F.collect_set("content")).alias("all"))
-    return saved(ranked.select("bucket", F.posexplode("all").alias("rank", "content")))
+    ranked = saved(ranked.select("bucket", F.posexplode("all").alias("rank", "content")))
+    if ranked.where(F.col("rank") >= 1 << (63 - bits)).limit(1).count():
+        raise OverflowError("a bucket has more contents than a rank has numbers")
+    return ranked
 
 
-def _named(rows: DataFrame, key: str, names: str, content: Column, bits: int, crowded: DataFrame | None) -> DataFrame:
-    """Replaces column ``names``, an array of contents, by the array of their integer names."""
-    as_name = lambda bucket, rank: F.shiftleft(bucket, RANK_BITS) + rank
+def _named(rows: DataFrame, names: str, bits: int, crowded: DataFrame | None, content: DataFrame | None = None) -> DataFrame:
+    """Replaces column ``names``, an array of contents or of their buckets, by the array of their integer names.
+
+    Where buckets are crowded, only rows that have one of them are looked at again: each
+    such place gets its content's rank. ``content`` gives these places' contents from row_no
+    and at; the array's own elements are taken where it is left out.
+    """
+    as_name = lambda bucket: F.shiftleft(bucket, 63 - bits)
+    bucket = (lambda x: x) if content is not None else (lambda x: _bucket(x, bits=bits))
     if crowded is None:
-        return rows.withColumn(names, F.transform(names, lambda x: as_name(_bucket(x, bits=bits), F.lit(0).cast("long"))))
-    flat = rows.select(key, F.posexplode(names).alias("at", "content")).withColumn("bucket", _bucket(F.col("content"), bits=bits))
-    ranks = F.broadcast(crowded) if crowded.count() <= CROWDED_ROWS else crowded
-    got = flat.join(ranks, ["bucket", "content"], "left").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("at", as_name(F.col("bucket"), F.coalesce("rank", F.lit(0)).cast("long")).alias("name")))).alias("got"))
-    return rows.drop(names).join(got.select(key, F.transform("got", lambda x: x["name"]).alias(names)), key)
+        return rows.withColumn(names, F.transform(names, lambda x: as_name(bucket(x))))
+    few = crowded.count() <= CROWDED_ROWS
+    full = crowded.select("bucket").distinct()
+    places = rows.select("row_no", F.posexplode(F.transform(names, bucket)).alias("at", "bucket"))
+    places = places.join(F.broadcast(full) if few else full, "bucket", "left_semi")
+    if content is None:
+        own = rows.select("row_no", F.posexplode(names).alias("at", "content"))
+        places = places.join(own, ["row_no", "at"])
+    else:
+        places = content(places)
+    ranks = places.join(F.broadcast(crowded) if few else crowded, ["bucket", "content"]).where("rank > 0")
+    ranks = ranks.groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("rank").cast("long")))).alias("ranks"))
+    plain = F.transform(names, lambda x, i: as_name(bucket(x)) + F.coalesce(F.try_element_at("ranks", i), F.lit(0)).cast("long"))
+    return rows.join(ranks, "row_no", "left").withColumn(names, plain).drop("ranks")
 
 
 def identities(docs: DataFrame, keep: list[str], block: int = BLOCK, bits: int = BUCKET_BITS) -> DataFrame:
@@ -64,22 +80,27 @@ def identities(docs: DataFrame, keep: list[str], block: int = BLOCK, bits: int =
 
     Names stay in the document's row as an array, 8 bytes a block; what is shuffled is each
     distinct block once and each distinct pair once, for the crowded-bucket test. Buckets
-    of 2**47 are rarely crowded; ``bits`` can be small in tests, where ranks do the work.
+    of 2**56 are rarely crowded; ``bits`` can be small in tests, where ranks do the work.
     An empty or null text has one empty block. The number of levels is the logarithm of
     the longest text's blocks.
     """
     numbers = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.octet_length("utf8") / block)).cast("int") - 1)
     piece = lambda i: F.substring(F.col("utf8"), i * block + 1, F.lit(block))
     spelled = docs.select(*keep, F.encode(normalised(), "UTF-8").alias("utf8"))
-    blocks = spelled.select(*keep, F.sha2("utf8", 256).alias("text_sha256"), F.transform(numbers, piece).alias("names"))
     # numbers are exploded, not blocks: an exploded array would be spelled anew for each element
     contents = spelled.select(F.explode(numbers).alias("at"), "utf8").select(piece(F.col("at")).alias("content"))
     contents = contents.select(_bucket(F.col("content"), bits=bits).alias("bucket"), "content")
     crowded = _crowded(contents, bits)
-    rows = blocks.withColumn("row_no", F.monotonically_increasing_id())
+    rows = spelled.select(*keep, F.sha2("utf8", 256).alias("text_sha256"), F.transform(numbers, lambda i: _bucket(piece(i), bits=bits)).alias("names"),
+                          *[] if crowded is None else ["utf8"]).withColumn("row_no", F.monotonically_increasing_id())
     if crowded is not None:
         rows = saved(rows)
-    rows = saved(_named(rows, "row_no", "names", F.col("content"), bits, crowded).withColumn("level", F.lit(0)))
+        texts = rows.select("row_no", "utf8")
+        rows = rows.drop("utf8")
+        found = lambda places: texts.join(places, "row_no").select("row_no", "at", "bucket", piece(F.col("at")).alias("content"))
+    else:
+        found = lambda places: places
+    rows = saved(_named(rows, "names", bits, crowded, found).withColumn("level", F.lit(0)))
 
     done = rows.where(F.size("names") == 1)
     left, level = rows.where(F.size("names") > 1), 0
@@ -91,7 +112,7 @@ def identities(docs: DataFrame, keep: list[str], block: int = BLOCK, bits: int =
         pairs = left.withColumn("names", pair)
         contents = pairs.select(F.explode("names").alias("content")).select(_bucket(F.col("content"), bits=bits).alias("bucket"), "content")
         crowded = _crowded(contents, bits)
-        rows = saved(_named(pairs, "row_no", "names", F.col("content"), bits, crowded).withColumn("level", F.lit(level)))
+        rows = saved(_named(pairs, "names", bits, crowded).withColumn("level", F.lit(level)))
         done = done.unionByName(rows.where(F.size("names") == 1))
         left = rows.where(F.size("names") > 1)
     return done.select(*keep, "row_no", "level", F.element_at("names", 1).alias("name"), "text_sha256")
@@ -104,7 +125,8 @@ def duplicate_groups(docs: DataFrame, block: int = BLOCK, bits: int = BUCKET_BIT
     is kept; of several such rows with that doc_id, one. A null text equals an empty one;
     a null doc_id is smaller than any other. No rows: no rows.
     """
-    rows = saved(identities(docs, ["doc_id"], block, bits))
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(saved(identities(docs, ["doc_id"], block, bits)))
     groups = saved(rows.groupBy("level", "name").agg(
         F.max(F.struct("doc_id", "row_no")).alias("top"), F.count(F.lit(1)).alias("group_size")))
     return with_group(rows, groups, ["level", "name"], "group_size", rows.count()).select(
@@ -113,19 +135,26 @@ def duplicate_groups(docs: DataFrame, block: int = BLOCK, bits: int = BUCKET_BIT
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    found = saved(duplicate_groups(docs))
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Which row stays, and what null, empty and repeated rows are, is as in
+    duplicate_groups(). Extra columns may have any name. No rows: no rows.
+    """
+    plain = docs.toDF(*[f"col_{i}" for i in range(len(docs.columns))])
+    key, text = (f"col_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(saved(duplicate_groups(plain.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))))
     gone = found.where(~F.col("kept"))
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         ids = gone.select(F.col("doc_id").alias("gone_id"))
         ids = F.broadcast(ids) if gone.count() <= BROADCAST_IDS else ids
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+        return plain.join(ids, F.col(key).eqNullSafe(F.col("gone_id")), "left_anti").toDF(*docs.columns)
     # a doc_id has several rows: what stays is one row of each (doc_id, text) that is kept
     stays = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    marked = docs.withColumn("mark_sha", F.sha2(F.encode(normalised(), "UTF-8"), 256))
-    one = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("mark_sha") == F.col("stay_sha")), "left_semi")
-    return one.dropDuplicates(["doc_id", "mark_sha"]).select(*docs.columns)
+    marked = plain.withColumn("mark_sha", F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+    one = marked.join(stays, F.col(key).eqNullSafe(F.col("stay_id")) & (F.col("mark_sha") == F.col("stay_sha")), "left_semi")
+    return one.dropDuplicates([key, "mark_sha"]).drop("mark_sha").toDF(*docs.columns)
 
 
 #: The same in DuckDB's SQL.

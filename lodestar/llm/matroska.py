@@ -305,7 +305,11 @@ def features(table: list[tuple], n_cues: int, samples: bytes) -> str:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Parses each stored file and computes payload digests and features from what it holds."""
+    """Parses each stored file and computes payload digests and features from what it holds.
+
+    A null file gives nulls but for doc_id and n_bytes. One that is cut off or damaged is an
+    error that stops the job: what it held is lost, and no row would say so.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -314,6 +318,9 @@ def media_features(media: DataFrame) -> DataFrame:
             for b in batches:
                 for doc_id, n, m in zip(b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["media"]):
                     data = m.as_py()
+                    if data is None:
+                        yield dict.fromkeys(names) | {"doc_id": doc_id, "n_bytes": n}
+                        continue
                     table = packets(data)
                     samples = b"".join(data[p[3]: p[3] + p[4]] for p in table)
                     yield dict(zip(names, (
@@ -329,5 +336,10 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Every document's text through a Matroska file and back."""
-    return media_features(with_media(docs))
+    """Every document's text through a stored Matroska file and back.
+
+    The files are binary values of a Parquet table in the shared folder, which is read
+    again. A null text is an empty one; equal texts give equal values; a null doc_id stays
+    null; repeated rows come back each. No rows: no rows.
+    """
+    return media_features(saved(with_media(docs)))

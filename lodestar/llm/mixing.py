@@ -27,8 +27,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     comes to rest: sources ordered by cap per weight are capped up to the first whose
     cap exceeds the level that the others would then have.
 
-    The windows run over one row per source, already summed. A source of size 0 has
-    target and rate 0; no source: no rows.
+    The windows run over one row per source, already summed: in one task, a few dozen bytes
+    a source, so sources may be millions but not as many as documents. A source of size 0
+    has target and rate 0; no source: no rows.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     by_cap = Window.orderBy("per_weight", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,14 +96,19 @@ def _sized(plan: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
-    plan = saved(rates(docs, **how).select(F.col("source").alias("mix_source"), "rate"))
-    joined = docs.join(_sized(plan), docs["source"].eqNullSafe(plan["mix_source"]))
+    """The mix itself: every document as many times as it is taken, with the columns of ``docs``.
+
+    Null text: size 0, so it counts for nothing, but is taken at its source's rate. Null
+    sources are one source. Rows of equal doc_id, a null one too, are drawn alike. Extra
+    columns may have any name. A source whose texts have no word is not taken. No rows: no rows.
+    """
+    plain = docs.toDF(*[f"col_{i}" for i in range(len(docs.columns))])
+    col = lambda c: F.col(f"col_{docs.columns.index(c)}")
+    plan = saved(rates(plain.select(col("source").alias("source"), col("text").alias("text")), **how).select(F.col("source").alias("mix_source"), "rate"))
+    joined = plain.withColumn("doc_id", col("doc_id")).join(_sized(plan), col("source").eqNullSafe(F.col("mix_source")))
     times = F.sequence(F.lit(1), copies().cast("int"))
-    return (
-        joined.withColumn("mix_copy", F.explode(F.when(copies() > 0, times).otherwise(F.array().cast("array<int>"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    taken = joined.withColumn("mix_copy", F.explode(F.when(copies() > 0, times).otherwise(F.array().cast("array<int>"))))
+    return taken.select(*plain.columns).toDF(*docs.columns)
 
 
 #: The same in DuckDB's SQL.

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import mapped, saved, with_group
+from lodestar.llm.common import mapped, saved, scratch, with_group
 from lodestar.llm.components import components
 
 SEED = 42
@@ -202,13 +202,19 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     null doc_id takes part and is never a component_id, unless a component has no other.
     Distinct fingerprints are indexed, so copies cost nothing. No rows: no rows.
     """
-    rows = saved(fingerprints(docs, shingle))
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(saved(fingerprints(docs, shingle)))
+        groups = keep(saved(_groups(rows, distance)))
+    return with_group(rows, groups, ["fp"], "copies", rows.count()).select("doc_id", "fp", "component_id")
+
+
+def _groups(rows: DataFrame, distance: int) -> DataFrame:
+    """fp, copies and component_id of each fingerprint of ``rows`` (doc_id, fp)."""
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     labels = components(saved(links(fps.select("fp"), distance)))
     labelled = saved(fps.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     parts = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
-    groups = with_group(labelled, parts, ["label"], "fps", labelled.count()).select("fp", "copies", "component_id")
-    return with_group(rows, saved(groups), ["fp"], "copies", rows.count()).select("doc_id", "fp", "component_id")
+    return with_group(labelled, parts, ["label"], "fps", labelled.count()).select("fp", "copies", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -200,6 +200,20 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=kind) + np.repeat((begins - (ends - sizes)).astype(kind), sizes)
 
 
+def release() -> None:
+    """Drops this worker's encoders, for a job whose later stages need the memory."""
+    import ctypes
+    import gc
+
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 @cache
 def encoder(name: str, path: str | None = None) -> ChunkEncoder:
     """One encoder per Python worker."""

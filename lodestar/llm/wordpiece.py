@@ -12,7 +12,8 @@ from lodestar.llm.common import mapped
 
 #: Runs of letters, digits and marks, or single other signs; white space parts them.
 WORDS = re.compile(r"\w+|[^\w\s]").findall
-CACHED = 300_000
+#: Characters of counted words that a worker keeps, and of one that is kept; longer words are counted each time.
+KEPT_CHARS, LONG = 4_000_000, 64
 
 
 class Automaton:
@@ -89,15 +90,22 @@ def automaton(path: str | None = None) -> Automaton:
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words and n_tokens of each whole text.
 
-    Null or empty text: zeros. No shuffle; a worker keeps a bounded table of counted words.
+    Null or empty text: zeros. A null doc_id stays null, repeated rows are counted each,
+    other columns are not read. No shuffle; a worker keeps a bounded table of counted words.
+    No rows: no rows.
     """
 
     def count(batches):
         match = automaton(path).count
 
         class Counts(dict):
+            kept = 0
+
             def __missing__(self, word):
-                n = self[word] = match(word)
+                n = match(word)
+                if len(word) <= LONG:
+                    self[word] = n
+                    self.kept += len(word) + 8
                 return n
 
         known = Counts()
@@ -107,8 +115,9 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 found = WORDS(t.as_py() or "")
                 words.append(len(found))
                 tokens.append(sum(map(known.__getitem__, found)))
-                if len(known) > CACHED:
+                if known.kept > KEPT_CHARS:
                     known.clear()
+                    known.kept = 0
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"].cast(pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, level int, name string, part int, label string, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, level int, name string, part int, label string, score double, rate double, mix_copy int, gone_id long, mark_sha string, near_key long, fp binary, sid long, rank int, sequence_id long"
 #: Columns past the documents' own clash with names that the operators use.
 PLAIN = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,7 +46,7 @@ def rows():
 
 @pytest.fixture(scope="session")
 def docs(spark, rows):
-    full = [(d, t, l, s, len(t or ""), 1, 2, "n", 3, "l", 0.5) for d, t, l, s in rows]
+    full = [(d, t, l, s, len(t or ""), 1, 2, "n", 3, "l", 0.5, 0.1, 1, 2, "m", 3, b"f", 4, 5, 6) for d, t, l, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(5)
 
 

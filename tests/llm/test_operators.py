@@ -2,6 +2,7 @@
 
 import hashlib
 import html.parser
+import itertools
 import json
 import random
 import re
@@ -229,19 +230,43 @@ def fewest(sizes, capacity):
     return best[0]
 
 
-def test_bin_completion_is_near_the_optimum():
-    rng, over = random.Random(3), 0
-    for _ in range(60):
-        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 11))]
+def made_of(plan, capacity):
+    made = Counter()
+    for filling, n in plan.fillings:
+        assert sum(x * k for x, k in filling) <= capacity
+        for x, k in filling:
+            made[x] += n * k
+    return made
+
+
+def test_bin_completion_finds_the_optimum():
+    rng = random.Random(3)
+    cases = [[rng.randint(1, 60) for _ in range(rng.randint(1, 11))] for _ in range(400)] + [[21, 22, 22, 23, 25, 26, 37, 50, 51, 56, 56]]
+    for sizes in cases:
         plan = packing.bin_completion(dict(Counter(sizes)), 100)
-        made = Counter()
-        for filling, n in plan.fillings:
-            assert sum(x * k for x, k in filling) <= 100
-            for x, k in filling:
-                made[x] += n * k
-        assert made == Counter(sizes)
-        over += plan.sequences - fewest(sizes, 100)
-    assert over <= 2
+        assert made_of(plan, 100) == Counter(sizes)
+        assert plan.sequences == fewest(sizes, 100), sizes
+
+
+def test_bin_completion_of_few_lengths():
+    for counts, best in (({1001: 9000, 1000: 18000, 600: 9000, 495: 9000}, 9000), ({904: 1000, 867: 2000, 821: 1000, 637: 1000}, 1000)):
+        plan = packing.bin_completion(counts, 4096)
+        assert plan.sequences == best and made_of(plan, 4096) == Counter(counts)
+
+
+def test_dominated_fillings():
+    """A filling whose members could give way to a longer one that is left, within its waste, is dominated."""
+    left = {5: 1, 3: 1, 2: 2}
+    assert packing.dominated({3: 1, 2: 1}, 0, left) and not packing.dominated({5: 1}, 0, left)
+    assert packing.dominated({3: 1}, 2, left) and packing.dominated({2: 1}, 1, left) and not packing.dominated({3: 1, 2: 2}, 0, {3: 1, 2: 2})
+    rng = random.Random(4)
+    for _ in range(100):
+        counts = Counter(rng.randint(1, 12) for _ in range(7))
+        room = rng.randint(5, 30)
+        fillings = [dict(f) for f, _ in packing.fillings(dict(counts), room, room, packing.Budget(10**6))]
+        every = [dict(c) for c in {tuple(sorted(Counter(c).items())) for n in range(8) for c in itertools.combinations(list(counts.elements()), n)} if sum(x * k for x, k in c) <= room]
+        waste = lambda f: room - sum(x * k for x, k in f.items())
+        assert sorted(map(sorted, (f.items() for f in fillings))) == sorted(sorted(f.items()) for f in every if not packing.dominated(f, waste(f), counts))
 
 
 def test_packing_hot_length(spark):
@@ -249,7 +274,7 @@ def test_packing_hot_length(spark):
     out = got(packing.packed(rows, 100))
     assert len(out) == 9000
     check_sequences(out, 100)
-    plain = packing._steps(dict(Counter(r["length"] for r in out)), 100, 0)
+    plain = packing.best_fit(dict(Counter(r["length"] for r in out)), 100)
     assert len({r["sequence_id"] for r in out}) <= plain.sequences
 
 
@@ -447,25 +472,24 @@ def test_pages_against_a_plain_parser(spark):
 
 def parse_slowly(text, sample):
     """Phrases of ``text`` (classes as a string) by longest matches in ``sample``."""
-    n = 0
-    for w in range(0, len(text), langid.WINDOW):
-        part, at = text[w:w + langid.WINDOW], 0
-        n += 1
-        phrase = ""
-        for c in part:
-            if phrase + c in sample:
-                phrase += c
-            else:
-                n += 1
-                phrase = c if c in sample else ""
+    n, phrase = 1, ""
+    for c in text:
+        if phrase + c in sample:
+            phrase += c
+        else:
+            n += 1
+            phrase = c if c in sample else ""
     return n
 
 
-def test_phrases_against_substring_search():
+@pytest.mark.parametrize("window,steps", [(512, 1 << 22), (16, 1 << 22), (7, 400)])
+def test_phrases_against_substring_search(monkeypatch, window, steps):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    monkeypatch.setattr(langid, "PART_STEPS", steps)
     rng = random.Random(6)
-    samples = {"a": ["".join(rng.choice("abé ") for _ in range(90))], "b": ["".join(rng.choice("bcd ") for _ in range(60))]}
+    samples = {"a": ["".join(rng.choice("abé ") for _ in range(900))], "b": ["".join(rng.choice("bcd ") for _ in range(60))], "c": ["ab " * 300]}
     model = langid.train(samples)
-    texts = ["".join(rng.choice("abcdé zZ1") for _ in range(n)) for n in (1, 255, 256, 257, 700, 3)]
+    texts = ["".join(rng.choice("abcdé zZ1") for _ in range(n)) for n in (1, 255, 256, 257, 700, 3, 0)] + ["ab " * 200, "ab " * 150 + "x" + " ab" * 100]
     fold = lambda t: "".join(c.lower() if c.isalpha() else " " for c in t)
     made = langid.phrases(model, texts)
     for t, row in zip(texts, made):
@@ -473,6 +497,21 @@ def test_phrases_against_substring_search():
             assert row[k] == parse_slowly(fold(t), fold(" ".join(samples[lang]))), (t, lang)
 
 
+def test_languages_of_many_letters_and_foreign_texts():
+    rng = random.Random(8)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(3))
+    texts = {"x": [" ".join(word("the of and ing".split()) for _ in range(150)) for _ in range(64)], "y": [" ".join(word("der sch ung ein".split()) for _ in range(150)) for _ in range(64)],
+             "z": ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1000)) for _ in range(64)]}
+    model = langid.train(texts)
+    assert sum(x.nbytes for x in (model.base, model.owner, model.go, model.first)) < 100 << 20
+    two = langid.train({k: texts[k] for k in "xy"})
+    held = ["andtheof ofthe", "the", "q", texts["z"][0][:60], "привет как дела сегодня очень хорошая погода", "12", None, ""]
+    names, scores, fits = langid.predict(two, held)
+    assert fits == [True, True, True, False, False, False, False, False] and names[:2] == ["x", "x"] and names[5:] == ["und"] * 3
+    assert all(0 <= x <= 1 for x in scores)
+    assert langid.predict(model, [texts["z"][1][:40]])[0] == ["z"]
+
+
 def test_languages(docs, rows, empty):
     out = got(langid.languages(docs))
     assert len(out) == len(rows)
@@ -490,7 +529,7 @@ def test_languages(docs, rows, empty):
     assert tried > 30 and right >= 0.95 * tried
     kept = got(langid.identified(docs))
     assert len(kept) == sum(any(map(str.isalpha, t or "")) for _, t, _, _ in rows) and set(kept[0]) == set(docs.columns)
-    assert got(langid.languages(empty)) == []
+    assert got(langid.languages(empty)) == [] and got(langid.identified(empty)) == []
 
 
 # --- 10 ---

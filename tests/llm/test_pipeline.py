@@ -1,6 +1,7 @@
 """The pipeline against its stages by brute force."""
 
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -49,8 +50,8 @@ def test_stage_names():
 
 
 def shingles(text):
-    """The set of a text's runs of five words; fewer words are one run."""
-    w = text.lower().split()
+    """The set of a text's runs of five words, A-Z lower-cased; fewer words are one run."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
 
 
