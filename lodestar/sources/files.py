@@ -24,7 +24,8 @@ def read_companies(spark: SparkSession, path: str, keep_empty: bool = False) ->
     Texts are composed (NFC) here once; ``keep_empty`` numbers lines without any field too,
     as a store of documents does.
     """
-    raw = spark.read.schema(COMPANY_SCHEMA + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    parsed = F.from_json("value", COMPANY_SCHEMA + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("j")).select("j.*")
     some = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in COMPANY_FIELDS], F.to_json("reviews")).isNotNull()
     rows = raw.where(F.col("_corrupt_record").isNull() & (F.lit(keep_empty) | some)).drop("_corrupt_record")
     marked = rows.withColumn("line_no", F.monotonically_increasing_id()).withColumn("block", F.shiftright("line_no", 33))
@@ -62,8 +63,8 @@ def csv_to_json_lines(spark: SparkSession, csv: str, out: str, schema: str) -> N
 
 def count_elements(spark: SparkSession, path: str) -> DataFrame:
     """path and n: the elements of each JSON file's list, or the keys of its object."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
-    n = F.coalesce(F.json_array_length("value"), F.size(F.json_object_keys("value")))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    n = F.when(F.ltrim("value").startswith("["), F.size(F.from_json("value", "array<string>"))).otherwise(F.size(F.json_object_keys("value")))
     return whole.select("path", n.cast("long").alias("n"))
 
 

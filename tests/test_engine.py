@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import query as Q
 from lodestar.functions import text as T
+from lodestar.operators import clean as C
+from lodestar.operators import facade as A
 from lodestar.operators import pages as P
 from lodestar.operators import resolve as R
 from lodestar.operators import search as S
@@ -175,6 +177,27 @@ def test_json_lines(spark, tmp_path):
     rows = files.read_companies(spark, str(tmp_path / "c.jsonl")).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["name"], r["tax_id"]) for r in rows] == [(0, "A", "0101"), (1, "B", None)] and rows[1]["reviews"][0]["title"] == "t"
     assert files.corrupt_lines(spark, str(tmp_path / "c.jsonl")) == 1
+    assert [r["name"] for r in files.read_companies(spark, str(tmp_path / "c.jsonl"), keep_empty=True).orderBy("doc_id").collect()] == ["A", None, "B"]
+    (tmp_path / "d.jsonl").write_text('{"Tên doanh nghiệp": "Bi\u0300nh Đi\u0323nh"}\n')
+    assert files.read_companies(spark, str(tmp_path / "d.jsonl")).first()["name"] == "B\u00ecnh Đ\u1ecbnh"
+
+
+def test_json_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1}, 2,\n 3]')
+    (tmp_path / "b.json").write_text('{"k": [1, 2], "l": 0}')
+    found = {r["path"][-6:]: r["n"] for r in files.count_elements(spark, str(tmp_path / "*.json")).collect()}
+    assert found == {"a.json": 3, "b.json": 2}
+    (tmp_path / "a.csv").write_text("k,v\n01,x\n02,\n")
+    files.csv_to_json_lines(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"), "k string, v string")
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"k":"01","v":"x"}', '{"k":"02","v":null}']
+
+
+def test_addresses_of_a_file(spark, tmp_path):
+    lines = ['{"id": 1, "Địa chỉ": "5 7 Nguyễn Huệ", "x": [1.50]}', "not json", '{"id": 2}', '{"Địa chỉ": "a \\"b\\",,c"}']
+    (tmp_path / "c.jsonl").write_text("\n".join(lines) + "\n\n")
+    C.clean_lines(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "out"))
+    made = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert made == sorted(['{"id": 1, "Địa chỉ": "5-7 Nguyễn Huệ", "x": [1.50]}', "not json", '{"id": 2}', '{"Địa chỉ": "a \\"b\\", c"}'])
 
 
 def test_csv_and_appends(spark, tmp_path):
@@ -212,3 +235,66 @@ def test_ann_recall(spark, sf):
         hits += len(set(sorted(ip, key=lambda v: (-ip[v], v))[:10]) & set(found[a]))
         assert len(found[a]) == 10 and all(abs(ip[v] - s) < 1e-5 for v, s in found[a].items())
     assert set(found) == set(asked) and hits >= 9 * len(asked)
+
+
+def test_nearest_of_a_large_small_side(spark, monkeypatch):
+    """A small side in several parts gives what one part gives, ties to the smallest id."""
+    rng = random.Random(5)
+    vec = lambda: [rng.choice([0.0, 1.0, -1.0]) for _ in range(3)]
+    frame = lambda n: spark.createDataFrame([(i, "n", vec()) for i in range(n)], "id long, name string, vec array<double>")
+    large, small = frame(60), frame(50)
+    one = {r["id"]: (r["match_id"], r["cosine"]) for r in R.semantic_matches(large, small, -9, None).collect()}
+    monkeypatch.setattr(R, "SMALL_SIDE", 9)
+    assert {r["id"]: (r["match_id"], r["cosine"]) for r in R.semantic_matches(large, small, -9, None).collect()} == one and len(one) == 60
+
+
+def test_hashing_encoder_on_the_driver_equals_the_column(spark):
+    texts = ["công nghệ thông tin", "", "nhà hàng hà nội phần mềm abc", "the of x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    made = {r["i"]: r["embedding"] for r in A.hashed_vectors(rows, ["i"], "text").collect()}
+    for i, t in enumerate(texts):
+        assert made[i] == pytest.approx(A.hashed_terms(Q.terms(t))), t
+
+
+def test_engine_with_hashed_fields(spark, tmp_path):
+    companies = [(0, "Công ty phần mềm A", "công nghệ thông tin", "Quận 1, Hà Nội", "Đang hoạt động"), (1, "Nhà hàng B", "ăn uống", "Huyện C, Bình Định", "Ngừng hoạt động"),
+                 (2, "Cty phần mềm D", "phần mềm", "Xã E, Bình Định", "Đang hoạt động"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(companies, "doc_id long, name string, industry string, address string, status string")
+    docs = docs.withColumn("text", T.searchable_text(F.col("name"), F.col("address"), F.col("industry")))
+    store = A.build_vectors(A.field_vectors(docs, "name", "industry", "address"), str(tmp_path / "v"))
+    assert store.meta.first()["num_fields"] == 4 and store.vectors.count() == 16
+    engine = A.SearchEngine(S.write_index(docs, str(tmp_path / "i")), docs, store.vectors)
+    best = lambda df: [r["doc_id"] for r in df.orderBy("rank").collect()]
+    assert set(best(engine.search("phần mềm", 2))) == {0, 2}
+    assert best(engine.search("phần mềm bình định", 1)) == [2]  # the place decides
+    assert best(engine.ask(A.SearchRequest("phần mềm", province="Hà Nội", search_filters=False))) == [0]
+    assert set(best(engine.ask(A.SearchRequest("phần mềm nhà hàng", method="bm25", status=S.INACTIVE)))) == {1}
+    assert {r["term"]: r["freq"] for r in engine.explain("phần mềm").collect()}["phần_mềm"] >= 1
+    assert engine.explain("không có").count() == 0
+    found = A.evaluate(engine, {0: ("phần mềm", ["phần mềm"]), 1: ("xyz", ["không đâu"])}, F.col("text"))
+    assert {r["qid"] for r in found.collect()} == {0} and A.summary(found).count() == 3
+    assert A.write_report(found, {0: ("phần mềm", [])}, str(tmp_path / "r")).count("\n") == 5
+    assert spark.read.option("header", True).csv(str(tmp_path / "r/results_csv")).count() == 3
+
+
+def test_a_missing_index_is_empty(spark, tmp_path):
+    index = S.read_index(spark, str(tmp_path / "none"))
+    assert S.bm25(index, S.query_rows(spark, [(0, ["a"])])).count() == 0
+
+
+def test_probing_reads_few_cells(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id AS doc_id", "0 AS slot", "array(cos(id), sin(id)) AS embedding")
+    store = A.build_vectors(rows, str(tmp_path), cells=4)
+    near = store.near([1.0, 0.0], 1)
+    assert 0 < near.count() < 200 and near.select("cell").distinct().count() == 1
+
+
+def test_stream_that_goes_on(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    spark.range(10).select(F.col("id").alias("k")).write.parquet(src)
+    running = ingest.ingest_every(ingest.source(spark, src, "k long"), out, mark, "k", "1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert spark.read.parquet(out).count() == 10
