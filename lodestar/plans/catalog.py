@@ -554,11 +554,25 @@ def html_links(spark, d):
     return P.links(table(spark, d, "pages"))
 
 
-@query()
+@query("SELECT page_id, url, " + ", ".join(f"'' AS {c}" for c in P.COMPANY) + " FROM pages")
 def html_fields(spark, d):
+    """The crawled pages are no registry pages: no field is found in any."""
     return P.parse_companies(table(spark, d, "pages"))
 
 
+COMPANY_PAGE = """<div class="m-panel-heading main-heading"><h1> Cty ""A"" </h1></div><div itemprop="taxID">0101</div><div itemprop="address">Hà Nội<br></div>
+<div class="responsive-table-cell">Tên giao dịch</div><div class="responsive-table-cell">A JSC</div><div class="responsive-table-cell">Tình trạng hoạt động</div>
+<div class="responsive-table-cell">Đang hoạt động</div><div class="responsive-table-cell">Ngày cấp giấy phép:</div><div class="responsive-table-cell">1/2/2020</div>
+<div class="nnkd-table"><div class="responsive-table-cell">Bán lẻ (Ngành chính)</div></div>"""
+COMPANY_FOUND = [(1, "u", 'Cty "A', "A JSC", "0101", "Hà Nội", "Đang hoạt động", "1/2/2020", "Bán lẻ"), (2, "v", "", "", "", "", "", "", "")]
+
+
+@query(f"SELECT CAST(page_id AS BIGINT) AS page_id, url, {', '.join(P.COMPANY)} FROM {values(COMPANY_FOUND, 'page_id, url, ' + ', '.join(P.COMPANY))}")
+def html_company(spark, d):
+    """A registry page and one without fields; the SQL has the expected texts."""
+    return P.parse_companies(fixture(spark, [(1, "u", COMPANY_PAGE), (2, "v", None)], "page_id long, url string, html string"))
+
+
 # --- evaluation ----------------------------------------------------------------------
 
 _METHODS = {"short": "n_chars ASC", "long": "n_chars DESC"}
