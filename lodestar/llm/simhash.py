@@ -202,8 +202,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     null doc_id takes part and is never a component_id, unless a component has no other.
     Distinct fingerprints are indexed, so copies cost nothing. No rows: no rows.
     """
-    with scratch(docs.sparkSession) as keep:
-        rows = keep(saved(fingerprints(docs, shingle)))
+    return linked(saved(fingerprints(docs, shingle)), distance)
+
+
+def linked(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``rows`` (doc_id, fp; a saved table) with component_id, as near_groups() has them."""
+    with scratch(rows.sparkSession) as keep:
         groups = keep(saved(_groups(rows, distance)))
     return with_group(rows, groups, ["fp"], "copies", rows.count()).select("doc_id", "fp", "component_id")
 

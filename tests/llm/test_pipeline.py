@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 
-from lodestar.llm import jaccard, langid, mixing, packing
+from lodestar.llm import jaccard, langid, mixing, packing, simhash
 
 
 def test_pipeline(spark, docs, rows, tmp_path):
@@ -117,3 +117,66 @@ def test_texts_below_the_required_similarity_stay(spark):
         texts[2 * i + 1] = " ".join(words)
     assert not groups_slowly(texts)[1]
     assert staged(spark, texts) == set(texts)
+
+
+def test_simhash_groups_come_before_the_join(spark, monkeypatch):
+    """Copies within two fingerprint bits have one label when the join begins; a pair that is proposed but below 0.8 has not."""
+    rng, labels = random.Random(7), []
+    base = [[f"w{rng.randrange(9000)}" for _ in range(600)] for _ in range(5)]
+    texts = {10 * i + k: " ".join(words[:-1] + [f"end{k}"]) for i, words in enumerate(base) for k in range(10)}
+    texts |= {1000 + i: " ".join(f"v{rng.randrange(9000)}" for _ in range(50)) for i in range(40)}
+    proposed, joined = jaccard.fingerprint_pairs, jaccard.candidates
+
+    def more(fps):
+        one, two = (fps.where(f"least = {d}").selectExpr(f"sid AS {c}") for d, c in ((1020, "a"), (1030, "b")))
+        return proposed(fps).union(one.crossJoin(two))
+
+    def noted(posted, *rounds):
+        labels.append({r["sid"]: r["label"] for r in posted.select("sid", "label").distinct().collect()})
+        return joined(posted, *rounds)
+
+    monkeypatch.setattr(jaccard, "fingerprint_pairs", more)
+    monkeypatch.setattr(jaccard, "candidates", noted)
+    assert staged(spark, texts) == {d for d in texts if d >= 1000 or d % 10 == 0}
+    bits = {d: simhash.fingerprint(t) & (2 ** 64 - 1) for d, t in texts.items()}
+    near = [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= 2]
+    assert len(near) > 20
+    assert sorted(n for n in Counter(labels[0].values()).values() if n > 1) == sorted(components_slowly(near))
+
+
+def components_slowly(pairs):
+    """The sizes of what ``pairs`` join up."""
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return list(Counter(root.values()).values())
+
+
+def test_fingerprint_pairs(spark):
+    """The SimHash index's groups of random fingerprints with two bits changed in turn, by brute force."""
+    rng, bits = random.Random(8), []
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        bits.append(x)
+        for _ in range(rng.randrange(4)):
+            for at in rng.sample(range(64), rng.randrange(4)):
+                x ^= 1 << at
+            bits.append(x)
+    fps = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in enumerate(bits)], "sid long, bits long")
+    pairs = [(a, b) for a in range(len(bits)) for b in range(a + 1, len(bits)) if (bits[a] ^ bits[b]).bit_count() <= 2]
+    root = list(range(len(bits)))
+    for _ in bits:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {(r["a"], r["b"]) for r in jaccard.fingerprint_pairs(fps).collect()} == {(r, i) for i, r in enumerate(root) if r != i}
+
+
+def test_short_lists_are_paired_in_one_round(spark):
+    """Lists of up to WHOLE times as many members as hubs leave nothing for another round; a pair of several lists comes once."""
+    most, size = jaccard.WHOLE * jaccard.HUBS, 100 << 32
+    posted = spark.createDataFrame([(s, i, size + s, i) for s in range(3) for i in range(most)] + [(9, i, size, i) for i in range(most + 1)], "shingle long, sid long, n_at long, label long")
+    out = [tuple(r) for r in jaccard.candidates(posted.where("shingle < 9").coalesce(1), jaccard.HUBS).select("a", "b").collect()]
+    assert all(b is not None for _, b in out) and set(out) == {(a, b) for a in range(most) for b in range(a + 1, most)}
+    left = [tuple(r) for r in jaccard.candidates(posted.where("shingle = 9"), jaccard.HUBS).where("b IS NULL").select("a").collect()]
+    assert len(left) == most + 1
